@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicates
 from .sharding import assign_shards
 
 
@@ -17,9 +18,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL = {
