@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
 from .sharding import assign_shards
+from .token_output import token_output
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -25,6 +41,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_token_output": op8_token_output,
     "op9_near_dedup": op9_near_dedup,
 }
 
