@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, quality
 from .common import documents
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -28,6 +29,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), n_shards=8)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality_scores(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict_language(docs, language.train(docs))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -53,6 +64,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sharding": op2_sharding,
+    "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_output": op8_token_output,
