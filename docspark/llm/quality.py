@@ -17,6 +17,11 @@ from .text_hash import NOT_SPACE, bounds, buffers, word_hashes
 BUCKET_BITS = 16
 NGRAMS = (3, 4)
 DIMENSIONS = 12
+#: Hashed buckets, then one bucket for each relation of a word to the one before.
+_BUCKETS = 1 << BUCKET_BITS
+_ALL_BUCKETS = _BUCKETS + 3
+#: Buckets of fewer training documents keep a zero vector: they would only be learned by heart.
+MIN_DOCUMENTS = 5
 #: Labelled documents that the classifier is fitted on at most, drawn by hash of
 #: the id. A few thousand settle its weights; the bound keeps the fit's time and
 #: the driver's memory the same at every corpus size.
@@ -30,6 +35,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _relations(words: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each word the bucket of its relation to the one before: the same, another, or none before."""
+    out = np.full(len(words), _BUCKETS, np.int64)
+    out[1:] += np.where(rows[1:] == rows[:-1], np.where(words[1:] == words[:-1], 2, 1), 0)
+    return out
+
+
 def _features(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
     """For runs [i, j) of rows: per kind of feature, the buckets and where each row's begin."""
     texts = column.to_pylist()
@@ -37,7 +49,8 @@ def _features(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarra
     for i, j in grouped(texts):
         data, offsets = buffers(column.slice(i, j - i))
         words, rows = word_hashes(data, offsets, NOT_SPACE)
-        kinds = [((words >> shift).astype(np.int64), bounds(rows, j - i))]
+        at = bounds(rows, j - i)
+        kinds = [((words >> shift).astype(np.int64), at), (_relations(words, rows, at), at)]
         found, begin = codes(texts[i:j])
         for n in NGRAMS:
             hashes, inside = ngrams(found, n)
@@ -80,7 +93,13 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     ``bags`` holds (label, buckets, shares) of each document.
     """
     random = np.random.default_rng(seed)
-    vectors = random.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)) / DIMENSIONS
+    seen = np.zeros(_ALL_BUCKETS, np.int64)
+    for _, buckets, _ in bags:
+        seen[buckets] += 1
+    known = seen >= MIN_DOCUMENTS
+    bags = [(label, b[known[b]], s[known[b]]) for label, b, s in bags]
+    vectors = random.uniform(-1, 1, (_ALL_BUCKETS, DIMENSIONS)) / DIMENSIONS
+    vectors[~known] = 0
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
     steps, done = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
@@ -166,7 +185,8 @@ def quality_scores(
     """doc_id, held_out, score (nearer 1: label 1 likelier), predicted.
 
     The features of a whole text are its words and its character 3- and
-    4-grams, hashed to buckets; the mean of their vectors goes to the softmax.
+    4-grams, hashed to buckets, and whether each word repeats the one before;
+    the mean of their vectors goes to the softmax.
 
     Nulls and empties: a text without features is scored by the bias alone;
     null ids are carried along, as not held out, and no label is learned from
