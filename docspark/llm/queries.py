@@ -9,6 +9,7 @@ from . import language, quality
 from .common import documents
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .sharding import assign_shards
 from .suffix_dedup import suffix_dedup
@@ -61,6 +62,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sharding": op2_sharding,
@@ -70,6 +75,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_token_output": op8_token_output,
     "op9_near_dedup": op9_near_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
