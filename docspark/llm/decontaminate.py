@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_or_empty, written
+from .common import pick, ship, text_or_empty, written
 from .text_hash import WORD_CHARACTERS, bounds, buffers, groups, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -67,6 +67,7 @@ def item_blocks(
     items: DataFrame, threshold: float = THRESHOLD, item_id_col: str = "item_id", text_col: str = "text"
 ) -> Iterator[Block]:
     """The items with a word, in blocks of a bounded number of shingles."""
+    ship(items.sparkSession)
     rows = pick(items, item_id=item_id_col, text=text_col).select(
         F.col("item_id").cast("long"), text_or_empty("text").alias("text")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .codepoints import codes, grouped, ngrams, sums
-from .common import pick, text_or_empty, written
+from .common import pick, ship, text_or_empty, written
 from .text_hash import mix
 
 NGRAMS = (3, 4)
@@ -120,6 +120,7 @@ def train(
     lang_col: str = "lang",
 ) -> Model:
     """Learn the n-grams of each language from documents that are not held out."""
+    ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).select(
         "doc_id", "lang", text_or_empty("text").alias("text"), F.xxhash64("doc_id").alias("draw")
     )
@@ -193,6 +194,7 @@ def predict_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text
     score 0; null ids are carried along, as not held out, and nothing is
     learned from them. An empty table gives no rows. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty("text").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double").select(

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pick, text_or_empty, written
+from .common import pick, ship, text_or_empty, written, written_by_key
 from .text_hash import NOT_SPACE, bounds, buffers, groups, mix, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -22,6 +23,8 @@ MANTISSA_BITS = 10
 #: with probability (1 - 0.75**4)**32, about 5e-6.
 ROWS_PER_BAND = 4
 BANDS = BUCKETS // ROWS_PER_BAND
+#: Sets of fewer shingles get as many bands again, of other registers, since theirs depend on each other.
+SMALL = 2 * BUCKETS
 EMPTY = 0xFFFF
 #: Two different minima give the same register about this often.
 COLLISION = 2.0**-MANTISSA_BITS / 3
@@ -91,15 +94,49 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buffers(column)[0], np.uint16).reshape(len(column), BUCKETS)
 
 
+def densified(found: np.ndarray) -> np.ndarray:
+    """Registers whose empty buckets take the register of a bucket drawn for them.
+
+    The draws are the same for all sets. So small sets, which leave most
+    buckets empty, agree in a register with their similarity, too, and do not
+    meet in a band over one shared shingle.
+    """
+    out = found.copy()
+    row, bucket = np.nonzero(found == EMPTY)
+    some = (found != EMPTY).any(1)
+    row, bucket = row[some[row]], bucket[some[row]]
+    attempt = 0
+    while len(row):
+        attempt += 1
+        drawn = mix((bucket.astype(np.uint64) << np.uint64(32)) + np.uint64(attempt)) >> np.uint64(64 - BUCKET_BITS)
+        value = found[row, drawn.astype(np.int64)]
+        full = value != EMPTY
+        out[row[full], bucket[full]] = value[full]
+        row, bucket = row[~full], bucket[~full]
+    return out
+
+
+#: Which registers make up each band: all in turn, then, for small sets, in another order.
+_ORDER = np.argsort(mix(np.arange(BUCKETS, dtype=np.uint64)))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    salt = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        packed = np.ascontiguousarray(_matrix(batch.column("registers"))).view(np.uint64)
-        filled = packed != np.uint64(0xFFFFFFFFFFFFFFFF)
-        keys = mix(packed ^ salt)
-        ids = np.repeat(batch.column("cid").to_numpy(), BANDS).reshape(-1, BANDS)
+        dense = densified(_matrix(batch.column("registers")))
+        both = np.concatenate([dense, dense[:, _ORDER]], axis=1)
+        keys = mix(np.ascontiguousarray(both).view(np.uint64) ^ salt)
+        sizes = batch.column("n_shingles").to_numpy()
+        emit = np.ones(keys.shape, bool)
+        emit[sizes >= SMALL, BANDS:] = False
+        row = np.nonzero(emit)[0]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[filled].view(np.int64)), pa.array(ids[filled])], names=["band", "cid"]
+            [
+                pa.array(keys[emit].view(np.int64)),
+                pa.array(batch.column("cid").to_numpy()[row]),
+                pa.array(sizes[row].astype(np.int32)),
+            ],
+            names=["band", "cid", "n"],
         )
 
 
@@ -119,17 +156,19 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for i, j, hashes, rows in shingle_sets(column):
-            at = bounds(rows, j - i)
-            out += [hashes[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
-        return out
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """Each text's sorted distinct shingle hashes."""
+    out = []
+    for i, j, hashes, rows in shingle_sets(column):
+        at = bounds(rows, j - i)
+        out += [hashes[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+    return out
 
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True):
+        for x, y in zip(_sets(batch.column("text_a")), _sets(batch.column("text_b")), strict=True):
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -165,6 +204,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b): the members' texts move, the hubs' come to them."""
+    full = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+    full = full.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    return full.select("a", "b", "text_a", "text_b")
+
+
 def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -184,68 +230,144 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
         .mapInArrow(_likely, "a long, b long"),
         "likely",
     )
-    full = likely.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-    full = full.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(full.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"), "links")
+    return written(_pair_texts(likely, texts).mapInArrow(_linked, "a long, b long"), "links")
+
+
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pairs of a group's smallest set a, its hub, and a member b: are they linked, and b's shingles outside a.
+
+    Let b have no link with a, and one with c, whose set is no smaller than
+    a's. Then b and c share more than b shares with a: at least ``need``
+    shingles outside a. In one order for all, the first (outside - need + 1)
+    shingles of either must then have one in common; ``slots`` is that number.
+    """
+    for batch in batches:
+        linked, slots, outside = [], [], []
+        for hub, own in zip(_sets(batch.column("text_a")), _sets(batch.column("text_b")), strict=True):
+            rest = np.setdiff1d(own, hub, assume_unique=True)
+            both = len(own) - len(rest)
+            linked.append(100 * both >= PERCENT * (len(hub) + len(rest)))
+            least = -(-PERCENT * (len(own) + len(hub)) // (100 + PERCENT))
+            slots.append(max(0, len(rest) - max(1, least - both) + 1))
+            outside.append(rest.view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("a"),
+                batch.column("b"),
+                pa.array(linked, pa.bool_()),
+                pa.array(slots, pa.int32()),
+                pa.array(outside, pa.list_(pa.int64())),
+            ],
+            names=["a", "b", "linked", "slots", "outside"],
+        )
+
+
+def _prefixes(beside: DataFrame) -> DataFrame:
+    """(a, cid, shingle): the prefixes of members outside their hub, without what occurs once there.
+
+    The rarest among the hub's members come first: those that occur once take
+    up slots and pair with nothing; those that nearly all members have, which
+    the hub happens to lack, come last.
+    """
+    some = beside.where("slots > 0").select("a", F.col("b").alias("cid"), "slots", "outside")
+    rows = some.select("a", "cid", F.explode("outside").alias("shingle"))
+    common = rows.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(common, ["a", "shingle"]).groupBy("a", "cid")
+    shared = shared.agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("shared"))  # inside one set
+    left = F.col("slots") - (F.size("outside") - F.size("shared"))
+    cut = some.join(shared, ["a", "cid"]).where(left > 0).select("a", "cid", F.slice("shared", F.lit(1), F.greatest(left, F.lit(0))).alias("own"))
+    return cut.select("a", "cid", F.explode("own.shingle").alias("shingle"))
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _mixed(rows: DataFrame, group: list[str], labels: DataFrame, name: str) -> DataFrame:
+    """``rows`` (group, cid) with each cid's component, of the groups that hold several components."""
+    known = rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    known = known.withColumn("comp", F.coalesce("comp", "cid"))
+    several = known.groupBy(*group).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    return written(known.join(several.select(*group), group, "left_semi"), name)
+
+
+def _hub_pairs(members: DataFrame, order: list) -> DataFrame:
+    """Each member (b) of a band group with the group's first (a); a and b may stand in any order of size."""
+    hub = members.groupBy("band").agg(F.min(F.struct(*order, "cid")).alias("hub"))
+    hub = hub.select("band", F.col("hub.cid").alias("a"))
+    return members.join(hub, "band").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
 
 
 def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | None:
     """(node, comp) of the classes that have a link, or None if none can have.
 
-    Band groups are never expanded into all pairs. First each member meets its
-    group's smallest member, then one drawn anew in each band; links join
-    classes into components. What is left are groups that still hold several
-    components: only pairs from different components can add something, and
-    these are checked without a cap.
+    Band groups are not expanded into pairs. First each member meets its
+    group's smallest set, then one drawn anew in each band; links join classes
+    into components. In the groups that still hold several components, a
+    missing link needs shingles in common outside the group's smallest set
+    (see ``_outside``): only members of different components that share one
+    of those are paired, without a cap. Copies with edits of their own, be
+    there any number, share none.
     """
-    bands = sketches.select("cid", "registers").mapInArrow(_bands, "band long, cid long")
+    bands = sketches.select("cid", "n_shingles", "registers").mapInArrow(_bands, "band long, cid long, n int")
     shared = bands.groupBy("band").count().where("count > 1").select("band")
     hits = written(bands.join(shared, "band", "left_semi"), "hits")
     if hits.isEmpty():
         return None
-    texts = written(
+    texts = written_by_key(
         sketched.select(F.col("row").alias("cid"), "text").join(hits.select("cid").distinct(), "cid", "left_semi"),
+        ["cid"],
         "candidate_texts",
     )
-    links, labels, tested = [], None, []
-    for turn in ("smallest", "drawn", "rest"):
-        at = hits
-        if labels is not None:
-            known = labels.withColumnRenamed("node", "cid")
-            at = hits.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-            mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-            at = written(at.join(mixed.where("x <> y").select("band"), "band", "left_semi"), "hits_left")
-        else:
-            at = at.withColumn("comp", F.col("cid"))
-        if turn == "rest":
-            other = at.select("band", F.col("cid").alias("c2"), F.col("comp").alias("k2"))
-            pairs = at.join(other, "band").where("comp < k2")
-        else:
-            order = (F.col("cid") if turn == "smallest" else F.xxhash64("cid", "band")).alias("order")
-            hub = at.groupBy("band").agg(F.min(F.struct(order, "cid", "comp")).alias("hub"))
-            hub = hub.select("band", F.col("hub.cid").alias("c2"), F.col("hub.comp").alias("k2"))
-            pairs = at.join(hub, "band").where("comp <> k2")
-        pairs = pairs.select(F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested.append(pairs)
-        links.append(_confirmed(pairs, sketches, texts))
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        labels = components(found)
-    return labels
-
-
-def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: row (unique), doc_id, text, n_shingles, h1, h2 (the set's hash), registers."""
-    rows = pick(docs, doc_id=id_col, text=text_col).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty("text").alias("text")
+    pairs = written(_hub_pairs(hits, ["n"]), "pairs")
+    links = [_confirmed(pairs, sketches, texts)]
+    labels = components(links[0])
+    left = _mixed(hits, ["band"], labels, "mixed_bands")
+    if left.isEmpty():
+        return labels
+    drawn = _hub_pairs(left, [F.xxhash64("cid", "band").alias("order")])
+    known = labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    drawn = drawn.join(known, "b", "left").join(known.toDF("a", "comp_a"), "a", "left")
+    drawn = drawn.where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    drawn = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links.append(_confirmed(written(drawn, "pairs"), sketches, texts))
+    labels = components(_united(links))
+    left = _mixed(left.select("band", "cid", "n"), ["band"], labels, "mixed_bands")
+    if left.isEmpty():
+        return labels
+    beside = written(
+        _pair_texts(_hub_pairs(left, ["n"]), texts).mapInArrow(
+            _outside, "a long, b long, linked boolean, slots int, outside array<long>"
+        ),
+        "outside",
     )
-    schema = "row long, doc_id long, text string, n_shingles long, h1 long, h2 long, registers binary"
+    links.append(beside.where("linked").select("a", "b"))
+    labels = components(_united(links))
+    left = _mixed(written(_prefixes(beside), "prefixes"), ["a", "shingle"], labels, "mixed_prefixes")
+    if left.isEmpty():
+        return labels
+    other = left.select("a", "shingle", F.col("cid").alias("cid_2"), F.col("comp").alias("comp_2"))
+    rest = left.join(other, ["a", "shingle"]).where("comp < comp_2")
+    rest = rest.select(F.least("cid", "cid_2").alias("a"), F.greatest("cid", "cid_2").alias("b")).distinct()
+    links.append(_confirmed(written(rest, "pairs"), sketches, texts))
+    return components(_united(links))
+
+
+def sketch_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None
+) -> DataFrame:
+    """One row per document: row (unique), doc_id, text, n_shingles, h1, h2 (the set's hash), registers; columns ``also``."""
+    ship(docs.sparkSession)
+    rows = pick(docs, doc_id=id_col, text=text_col, **{c: c for c in also or ()}).select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_or_empty("text").alias("text"),
+        *(also or ()),
+    )
+    schema = T.StructType([*rows.schema, *T.StructType.fromDDL("n_shingles long, h1 long, h2 long, registers binary")])
     return written(rows.mapInArrow(_sketch, schema), "sketched")
 
 
@@ -271,6 +393,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, the one with the smallest id; see ``near_duplicates``.
+
+    The other columns stay beside the sketches, as the texts do, and come back
+    with the rows that stay.
+    """
+    inner = [f"_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner)
+    doc_id, text = (inner[docs.columns.index(c)] for c in (id_col, text_col))
+    others = [F.col(c).alias(c) for c in inner if c != text]
+    sketched = sketch_documents(
+        rows.select(
+            F.struct(F.col(text).isNull().alias("no_text"), *others).alias("others"),
+            F.col(doc_id).alias("doc_id"),
+            F.col(text).alias("text"),
+        ),
+        also=["others"],
+    )
+    dropped = _decided(sketched).where("not row_kept").select("row")
+    kept = sketched.select("row", "text", "others").join(dropped, "row", "left_anti")
+    whole = [F.when(~F.col("others.no_text"), F.col("text")) if c == text else F.col(f"others.{c}") for c in inner]
+    return kept.select(*[w.alias(c) for w, c in zip(whole, inner, strict=True)]).toDF(*docs.columns)
+
+
 def _decided(sketched: DataFrame) -> DataFrame:
     classes = written(
         sketched.where("n_shingles > 0")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import codes, grouped, ngrams, sums
-from .common import pick, text_or_empty
+from .common import pick, ship, text_or_empty
 from .text_hash import NOT_SPACE, bounds, buffers, word_hashes
 
 BUCKET_BITS = 16
@@ -129,6 +129,7 @@ def train(
     label_col: str = "quality",
 ) -> Model:
     """Fit on the labelled documents that are not held out, at most ``max_training`` of them."""
+    ship(docs.sparkSession)
     labelled = pick(labels, doc_id="doc_id", quality=label_col)
     labelled = labelled.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = (
@@ -172,6 +173,7 @@ def _scores(shared):
 
 def _with_scores(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     """``docs`` under inner column names _0, _1, ... and _score."""
+    ship(docs.sparkSession)
     at = f"_{docs.columns.index(text_col)}"
     rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
     schema = rows.withColumn("_score", F.lit(0.0)).schema

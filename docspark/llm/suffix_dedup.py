@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_or_empty, written
+from .common import pick, ship, text_or_empty, written, written_by_key
 from .text_hash import _BYTE_VALUES, _power, buffers, mix
 
 MIN_BYTES = 400
@@ -172,7 +172,7 @@ def _resolved(named: DataFrame, last: bool = False) -> tuple[DataFrame, DataFram
 
 def _with_texts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     listed = phrases.groupBy("kd", "th").agg(F.collect_list(F.struct("first", "n", "trigger")).alias("phrases"))
-    return texts.select("kd", "th", "text").dropDuplicates(["kd", "th"]).join(listed, ["kd", "th"])
+    return texts.select("kd", "th", "text").join(listed, ["kd", "th"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,18 +201,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("copies"),
                 pa.array(size, pa.int64()),
                 pa.array(removed, pa.int64()),
                 pa.array(runs, kind),
                 pa.array(kept, pa.binary()),
                 pa.array(sha, pa.string()),
             ],
-            names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"],
+            names=["doc_id", "copies", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"],
         )
 
 
 _REMOVED = (
-    "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>,"
+    "doc_id long, copies long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>,"
     " kept binary, kept_sha256 string"
 )
 
@@ -240,6 +241,7 @@ def suffix_dedup(
     """
     if min_bytes < BLOCK + 8:
         raise ValueError("min_bytes is too small")
+    ship(docs.sparkSession)
     gram = min(GRAM, min_bytes // 2)
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long"), text_or_empty("text").alias("text")
@@ -254,7 +256,9 @@ def suffix_dedup(
     repeats, open_phrases = _resolved(parse)
     spans = [repeats]
     touched = written(repeats.select("kd", "th").unionByName(open_phrases.select("kd", "th")).distinct(), "touched")
-    texts = written(rows.join(touched, ["kd", "th"], "left_semi"), "touched_texts")
+    texts = rows.join(touched, ["kd", "th"], "left_semi").groupBy("kd", "th")
+    texts = texts.agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = written_by_key(texts, ["kd", "th"], "touched_texts")
     for step, last in ((_blocks, False), (_starts, True)):
         named = written(_with_texts(texts, open_phrases).mapInArrow(step(min_bytes), _NAMED), "named")
         repeats, open_phrases = _resolved(named, last)
@@ -269,8 +273,9 @@ def suffix_dedup(
         ).alias("spans")
     )
     columns = ["doc_id", "n_bytes", "n_removed", "spans", *["kept"] * keep_bytes, "kept_sha256"]
-    changed = texts.join(found, ["kd", "th"], "left").select("doc_id", "text", "spans")
-    changed = changed.mapInArrow(_removed, _REMOVED).select(*columns)
+    changed = texts.join(found, ["kd", "th"], "left").select("doc_id", "copies", "text", "spans")
+    changed = changed.mapInArrow(_removed, _REMOVED)
+    changed = changed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
     whole = rows.select(
         "kd",
         "th",

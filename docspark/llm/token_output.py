@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, text_or_empty, written
+from .common import pick, ship, text_or_empty, written
 
 BLOCK = 256
 PERCENTILE = 95
@@ -134,8 +134,8 @@ def read_block(data: bytes, k: int) -> np.ndarray:
 
 _ADJACENT = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces whose ids a worker remembers; the memory is emptied beyond it.
-REMEMBERED = 1 << 19
+#: When a worker remembers so many pieces, it starts anew and keeps the old ones only until the next time.
+REMEMBERED = 3 << 18
 _workers: dict[str, "_Encoder"] = {}
 
 
@@ -155,7 +155,11 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        size = self.tokenizer.get_vocab_size()
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.opens = np.array([t.startswith("\u0120") for t in tokens])  # how byte-level tokens write a space
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -163,16 +167,37 @@ class _Encoder:
             return _LONE_SPACE.split(text)
         return text.split(" ")
 
+    def _learn(self, new: list[str]) -> None:
+        """Add pieces (each follows a space). Plain ones are encoded many at a time, as one text.
+
+        A plain piece has no space in it, so its first id is the next one
+        whose token begins with a space.
+        """
+        plain = [p for p in new if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
+        if len(plain) < len(new):
+            odd = set(new).difference(plain)
+            found = self.tokenizer.encode_batch_fast([" " + p for p in odd], add_special_tokens=False)
+            self.known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(odd, found, strict=True))
+        runs = [" " + " ".join(plain[i : i + 64]) for i in range(0, len(plain), 64)]
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        ids = np.array([i for x in found for i in x.ids], "<u4")
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(plain):
+            raise ValueError("the tokenizer does not cut before single spaces")
+        at, raw = [*(4 * starts).tolist(), 4 * len(ids)], ids.tobytes()
+        self.known.update((p, raw[s:e]) for p, s, e in zip(plain, at[:-1], at[1:], strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         split = [self._pieces(t) for t in texts]
-        new = {p for pieces in split for p in pieces[1:]}
-        new = [p for p in new if p not in known]
-        found = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        for piece, x in zip(new, found, strict=True):
-            known[piece] = np.array(x.ids, "<u4").tobytes()
+        new = set().union(*(pieces[1:] for pieces in split)).difference(known)
+        if older:
+            again = new.intersection(older)
+            known.update((p, older[p]) for p in again)
+            new -= again
+        self._learn(list(new))
         first = self.tokenizer.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
         get = known.__getitem__
         return [
@@ -207,8 +232,8 @@ def _segments(tokenizer_path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 for doc, tokens in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     counts.append(len(tokens) // 4 + 1)
@@ -234,6 +259,7 @@ def write_token_files(
     files are balanced even if an id repeats. Each task tokenizes its range
     and packs segments as it goes; it holds one segment at a time.
     """
+    ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long"), text_or_empty("text").alias("text")
     )
@@ -272,6 +298,7 @@ def read_token_index(segments: DataFrame) -> DataFrame:
 
     Returns doc_id, start, n_tokens (with the end id), ids_crc32.
     """
+    ship(segments.sparkSession)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = segments.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row per file
     offsets = offsets.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
