@@ -329,8 +329,8 @@ def hot_lookups(spark, sf_dir):
 
 @_query("""
     SELECT p_partkey, list_reduce(list_prepend(2166136261::HUGEINT,
-        list_transform(range(1, strlen(p_name) + 1), i -> ascii(p_name[i])::HUGEINT)),
-        (h, b) -> (xor(h::BIGINT, b::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT AS h
+        list_transform(range(1, strlen(p_name) + 1), lambda i: ascii(p_name[i])::HUGEINT)),
+        lambda h, b: (xor(h::BIGINT, b::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT AS h
     FROM part
 """)
 def fnv1a_of_names(spark, sf_dir):
@@ -395,7 +395,7 @@ def database_ranks(spark, sf_dir):
 
 @_query("""
     SELECT user_id, round(list_reduce(list(value ORDER BY event_id),
-        (old, x) -> CASE WHEN old = 0 THEN x ELSE old * 0.75 + x * 0.25 END), 6) AS ewma
+        lambda old, x: CASE WHEN old = 0 THEN x ELSE old * 0.75 + x * 0.25 END), 6) AS ewma
     FROM events GROUP BY 1
 """)
 def latency_ewma(spark, sf_dir):
