@@ -30,6 +30,8 @@ EMPTY = 0xFFFF
 COLLISION = 2.0**-MANTISSA_BITS / 3
 #: Candidates stay if their estimate is within so many standard errors of the threshold.
 SIGMAS = 5.0
+#: Members of a group that are paired with each other at most; larger groups get a hub.
+PAIRED = 16
 
 
 def registers(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
@@ -242,7 +244,7 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles of either must then have one in common; ``slots`` is that number.
     """
     for batch in batches:
-        linked, slots, outside = [], [], []
+        linked, slots, outside, size = [], [], [], []
         for hub, own in zip(_sets(batch.column("text_a")), _sets(batch.column("text_b")), strict=True):
             rest = np.setdiff1d(own, hub, assume_unique=True)
             both = len(own) - len(rest)
@@ -250,6 +252,7 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = -(-PERCENT * (len(own) + len(hub)) // (100 + PERCENT))
             slots.append(max(0, len(rest) - max(1, least - both) + 1))
             outside.append(rest.view(np.int64))
+            size.append(len(own))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("a"),
@@ -257,26 +260,30 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(linked, pa.bool_()),
                 pa.array(slots, pa.int32()),
                 pa.array(outside, pa.list_(pa.int64())),
+                pa.array(size, pa.int32()),
             ],
-            names=["a", "b", "linked", "slots", "outside"],
+            names=["a", "b", "linked", "slots", "outside", "n"],
         )
 
 
 def _prefixes(beside: DataFrame) -> DataFrame:
-    """(a, cid, shingle): the prefixes of members outside their hub, without what occurs once there.
+    """(band, cid, n): the prefixes of members outside their hub, without what occurs once there.
+
+    A band is a hub with a shingle.
 
     The rarest among the hub's members come first: those that occur once take
     up slots and pair with nothing; those that nearly all members have, which
     the hub happens to lack, come last.
     """
-    some = beside.where("slots > 0").select("a", F.col("b").alias("cid"), "slots", "outside")
+    some = beside.where("slots > 0").select("a", F.col("b").alias("cid"), F.col("n").alias("size"), "slots", "outside")
     rows = some.select("a", "cid", F.explode("outside").alias("shingle"))
     common = rows.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(common, ["a", "shingle"]).groupBy("a", "cid")
     shared = shared.agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("shared"))  # inside one set
     left = F.col("slots") - (F.size("outside") - F.size("shared"))
-    cut = some.join(shared, ["a", "cid"]).where(left > 0).select("a", "cid", F.slice("shared", F.lit(1), F.greatest(left, F.lit(0))).alias("own"))
-    return cut.select("a", "cid", F.explode("own.shingle").alias("shingle"))
+    cut = some.join(shared, ["a", "cid"]).where(left > 0).select("a", "cid", "size", F.slice("shared", F.lit(1), F.greatest(left, F.lit(0))).alias("own"))
+    cut = cut.select("a", "cid", "size", F.explode("own.shingle").alias("shingle"))
+    return cut.select(F.xxhash64("a", "shingle").alias("band"), "cid", F.col("size").alias("n"))
 
 
 def _united(tables: list[DataFrame]) -> DataFrame:
@@ -309,8 +316,11 @@ def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | Non
     into components. In the groups that still hold several components, a
     missing link needs shingles in common outside the group's smallest set
     (see ``_outside``): only members of different components that share one
-    of those are paired, without a cap. Copies with edits of their own, be
-    there any number, share none.
+    of those stay together. Such a group is paired if it is small; a larger
+    one is treated like a band: its smallest set is its hub, and so on, until
+    no group is left. Hubs grow in (size, id) from step to step, so that ends;
+    nothing is capped. Copies with edits of their own, be there any number,
+    share no such shingle.
     """
     bands = sketches.select("cid", "n_shingles", "registers").mapInArrow(_bands, "band long, cid long, n int")
     shared = bands.groupBy("band").count().where("count > 1").select("band")
@@ -338,22 +348,26 @@ def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | Non
     left = _mixed(left.select("band", "cid", "n"), ["band"], labels, "mixed_bands")
     if left.isEmpty():
         return labels
-    beside = written(
-        _pair_texts(_hub_pairs(left, ["n"]), texts).mapInArrow(
-            _outside, "a long, b long, linked boolean, slots int, outside array<long>"
-        ),
-        "outside",
-    )
-    links.append(beside.where("linked").select("a", "b"))
-    labels = components(_united(links))
-    left = _mixed(written(_prefixes(beside), "prefixes"), ["a", "shingle"], labels, "mixed_prefixes")
-    if left.isEmpty():
-        return labels
-    other = left.select("a", "shingle", F.col("cid").alias("cid_2"), F.col("comp").alias("comp_2"))
-    rest = left.join(other, ["a", "shingle"]).where("comp < comp_2")
-    rest = rest.select(F.least("cid", "cid_2").alias("a"), F.greatest("cid", "cid_2").alias("b")).distinct()
-    links.append(_confirmed(written(rest, "pairs"), sketches, texts))
-    return components(_united(links))
+    while not left.isEmpty():
+        size = left.groupBy("band").agg((F.count("*") <= PAIRED).alias("paired"))
+        sized = written(left.join(size, "band"), "sized_bands")
+        few = sized.where("paired").select("band", "cid", "n", "comp")
+        other = few.toDF("band", "cid_2", "n_2", "comp_2")
+        alike = F.least("n", "n_2") * 100 >= PERCENT * F.greatest("n", "n_2")
+        rest = few.join(other, "band").where((F.col("comp") < F.col("comp_2")) & alike)
+        rest = rest.select(F.least("cid", "cid_2").alias("a"), F.greatest("cid", "cid_2").alias("b")).distinct()
+        links.append(_confirmed(written(rest, "pairs"), sketches, texts))
+        many = sized.where("not paired").select("band", "cid", "n")
+        beside = written(
+            _pair_texts(_hub_pairs(many, ["n"]), texts).mapInArrow(
+                _outside, "a long, b long, linked boolean, slots int, outside array<long>, n int"
+            ),
+            "outside",
+        )
+        links.append(beside.where("linked").select("a", "b"))
+        labels = components(_united(links))
+        left = _mixed(written(_prefixes(beside), "prefixes"), ["band"], labels, "mixed_bands")
+    return labels
 
 
 def sketch_documents(

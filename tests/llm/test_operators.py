@@ -13,7 +13,7 @@ import pytest
 from brute import ascii_lower, near_classes
 from compare import of_spark, of_sql
 
-from docspark.llm import decontaminate, language, license_scan, mixing, quality, queries, token_output
+from docspark.llm import decontaminate, language, license_scan, mixing, near_dedup, quality, queries, token_output
 from docspark.llm.exact_dedup import exact_dedup
 from docspark.llm.near_dedup import near_duplicates, without_near_duplicates
 from docspark.llm.sharding import assign_shards
@@ -260,8 +260,10 @@ def test_op9_equals_brute_force(spark, sf_dir, plain):
     check_near(queries.op9_near_dedup(spark, sf_dir).collect(), [r[:2] for r in plain])
 
 
-def test_op9_chains_around_one_text(spark):
+@pytest.mark.parametrize("paired", [2, 16])
+def test_op9_chains_around_one_text(spark, monkeypatch, paired):
     """Edited copies of one text, chains of edits and clusters beside a common part."""
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
     random = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     rows = []

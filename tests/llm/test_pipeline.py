@@ -7,7 +7,8 @@ from brute import near_classes
 from test_operators import item_matches, token_rows
 
 
-def test_stages_take_effect(spark, sf_dir, tmp_path):
+def test_stages_take_effect(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.01"  # sf0.001 has too few labels to learn from
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, before, at = docs.columns, {}, {}
     for name, stage in corpus_pipeline.STAGES:
