@@ -43,23 +43,44 @@ def _widths(deltas: np.ndarray) -> np.ndarray:
     return np.frexp(top.astype(np.float64))[1].astype(np.uint8)
 
 
-def _slices(of: np.ndarray, size: int = 256) -> Iterator[np.ndarray]:
-    """A few blocks at a time, since their bits stand in bytes meanwhile."""
-    for i in range(0, len(of), size):
-        yield of[i : i + size]
+def _pack(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values below 2**w, packed to bytes, the lowest bit first; 64 values make w whole words."""
+    columns = np.ascontiguousarray(values.astype(np.uint64).reshape(-1, 64).T)
+    words = np.zeros((w, columns.shape[1]), np.uint64)
+    for j, column in enumerate(columns):
+        k, shift = divmod(j * w, 64)
+        words[k] |= column << np.uint64(shift)
+        if shift + w > 64:
+            words[k + 1] |= column >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8", copy=False).view(np.uint8).reshape(len(values), -1)
+
+
+def _unpack(rows: np.ndarray, w: int) -> np.ndarray:
+    words = np.ascontiguousarray(np.ascontiguousarray(rows).view("<u8").reshape(-1, w).T).astype(np.uint64, copy=False)
+    columns = np.empty((64, words.shape[1]), np.uint64)
+    mask = np.uint64((1 << w) - 1)
+    for j, column in enumerate(columns):
+        k, shift = divmod(j * w, 64)
+        np.right_shift(words[k], np.uint64(shift), out=column)
+        if shift + w > 64:
+            column |= words[k + 1] << np.uint64(64 - shift)
+        column &= mask
+    return columns.T.reshape(len(rows), -1)
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment of these unsigned 32-bit values."""
+    if block % 64:
+        raise ValueError("a block must hold a multiple of 64 values")
     n, n_blocks = len(values), -(-len(values) // block)
     if n == 0:
         return _HEAD.pack(b"PFB1", 0, block, 0)
-    padded = np.concatenate([values, np.full(n_blocks * block - n, values[-1])]).astype(np.int64)
+    padded = np.concatenate([values, np.full(n_blocks * block - n, values[-1])]).astype(np.uint32)
     grid = padded.reshape(n_blocks, block)
     low = grid.min(1)
     deltas = grid - low[:, None]
     widths = _widths(deltas)
-    over = deltas >> widths[:, None].astype(np.int64) > 0
+    over = deltas >> widths[:, None].astype(np.uint32) > 0
     where = np.flatnonzero(over)
     exceptions = deltas.reshape(-1)[where]
     deltas[over] = 0
@@ -68,10 +89,9 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     packed = np.zeros(int(starts[-1]), np.uint8)
     for w in np.unique(widths):
         if w:
-            for of in _slices(np.flatnonzero(widths == w)):
-                bits = (deltas[of][:, :, None] >> np.arange(w)).astype(np.uint8) & 1
-                rows = np.packbits(bits.reshape(len(of), -1), axis=1, bitorder="little")
-                packed[starts[of][:, None] + np.arange(rows.shape[1])] = rows
+            of = np.flatnonzero(widths == w)
+            rows = _pack(deltas[of], int(w))
+            packed[starts[of][:, None] + np.arange(rows.shape[1])] = rows
     return b"".join(
         [
             _HEAD.pack(b"PFB1", n, block, n_blocks),
@@ -106,10 +126,8 @@ def decode(data: bytes) -> np.ndarray:
     packed = np.frombuffer(data, np.uint8, packed_size, at)
     for w in np.unique(widths):
         if w:
-            for of in _slices(np.flatnonzero(widths == w)):
-                rows = packed[starts[of][:, None] + np.arange(w * block // 8)]
-                bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(of), block, w)
-                grid[of] = bits @ (1 << np.arange(w, dtype=np.int64))
+            of = np.flatnonzero(widths == w)
+            grid[of] = _unpack(packed[starts[of][:, None] + np.arange(w * block // 8)], int(w))
     at += packed_size
     total = int(counts.sum())
     where = np.frombuffer(data, "<u2", total, at).astype(np.int64)
