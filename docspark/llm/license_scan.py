@@ -58,6 +58,27 @@ def _starts(words: Column, phrase: str) -> Column:
     )
 
 
+def _best_labels(matches: str) -> Column:
+    """Labels of a block's matches, without those that a better match explains.
+
+    A match goes if one of higher containment, or of as much with more words,
+    shares all of its words: "CC BY-NC 4.0" is not also "CC BY 4.0". Two
+    notices in one block both stay, and so do equally good ones.
+    """
+
+    def explained(m: Column) -> Column:
+        return F.exists(
+            matches,
+            lambda o: (
+                (o["containment"] > m["containment"])
+                | ((o["containment"] == m["containment"]) & (F.size(o["shared"]) > F.size(m["shared"])))
+            )
+            & (F.size(F.array_except(m["shared"], o["shared"])) == 0),
+        )
+
+    return F.transform(F.filter(matches, lambda m: ~explained(m)), lambda m: m["label"])
+
+
 def license_scan(
     docs: DataFrame,
     templates: list[tuple[str, str]] = TEMPLATES,
@@ -75,6 +96,9 @@ def license_scan(
     bound the overlap before it is counted. Only the templates' own words take
     part, so what is collected or broadcast is bounded by the templates.
 
+    All matches are in ``found``; a block's labels are those of its best ones
+    (``_best_labels``).
+
     Nulls and empties: a null text counts as empty and has no words; null ids
     are carried along; repeated rows are scanned one by one. An empty table
     gives no rows. Other columns are ignored.
@@ -144,14 +168,23 @@ def license_scan(
         .select("row", "block", "own", "template", "needed")
         .dropDuplicates(["row", "block", "template"])
         .join(F.broadcast(table), "template")
-        .withColumn("overlap", F.size(F.array_intersect("own", "ranks")))
-        .where(F.col("overlap") >= F.col("needed"))
+        .withColumn("shared", F.array_intersect("own", "ranks"))
+        .where(F.size("shared") >= F.col("needed"))
+        .withColumn("containment", F.size("shared") / F.size("ranks"))
     )
-    containment = F.col("overlap") / F.size("ranks")
-    matches = pairs.groupBy("row").agg(
-        F.max(containment).alias("best"),
-        F.collect_set("label").alias("of_templates"),
-        F.array_sort(F.collect_list(F.struct("block", "label", containment.alias("containment")))).alias("found"),
+    of_block = pairs.groupBy("row", "block").agg(F.collect_list(F.struct("label", "containment", "shared")).alias("all"))
+    matches = of_block.groupBy("row").agg(
+        F.max(F.array_max(F.transform("all", lambda m: m["containment"]))).alias("best"),
+        F.array_distinct(F.flatten(F.collect_list(_best_labels("all")))).alias("of_templates"),
+        F.array_sort(
+            F.flatten(
+                F.collect_list(
+                    F.transform(
+                        "all", lambda m: F.struct("block", m["label"].alias("label"), m["containment"].alias("containment"))
+                    )
+                )
+            )
+        ).alias("found"),
     )
     at = F.concat(*[F.col(f"at_{i}") for i in range(len(BASE_PHRASES))])
     base = F.concat(

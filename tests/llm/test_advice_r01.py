@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import queries, token_output
+from docspark.llm import license_scan, queries, token_output
 
 
 def test_op8_pieces_of_special_strings():
@@ -15,3 +15,30 @@ def test_op8_pieces_of_special_strings():
     whole = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert got == [b"".join(i.to_bytes(4, "little") for i in ids) for ids in whole]
     assert not any(50256 in ids for ids in whole)
+
+
+def scanned(spark, *texts):
+    rows = list(enumerate(texts))
+    found = license_scan.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    return [r for r in sorted(found, key=lambda r: r.doc_id)]
+
+
+def test_op6_line_has_the_labels_of_its_best_templates(spark):
+    rows = scanned(
+        spark,
+        "Licensed under CC BY-NC 4.0.",
+        "Licensed under CC BY 4.0",
+        "Licensed under CC BY-SA 4.0",
+        "Licensed under CC BY 4.0\nLicensed under CC BY-SA 4.0",
+        "Licensed under CC BY-NC-SA 4.0",
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0. All rights reserved",
+    )
+    assert [r.labels for r in rows] == [
+        "cc-by,cc-by-nc-4.0",
+        "cc-by,cc-by-4.0",
+        "cc-by,cc-by-sa-4.0",
+        "cc-by,cc-by-4.0,cc-by-sa-4.0",
+        "cc-by,cc-by-nc-4.0,cc-by-sa-4.0",
+        "apache-2.0,mit,reserved",
+    ]
+    assert [f.label for f in rows[0].found] == ["cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0"]
