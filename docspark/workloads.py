@@ -423,7 +423,7 @@ def projected_conditions(spark, sf_dir):
 
 @_query(f"WITH ops AS ({_EVENT_OPS}) SELECT collection, count(DISTINCT id) AS live FROM ops WHERE op = 'put' GROUP BY 1")
 def live_counts(spark, sf_dir):
-    puts = _event_ops(spark, sf_dir).where("op = 'put'")
-    return puts.groupBy("collection").agg(F.countDistinct("id").alias("live"))
+    found = replay.live(_event_ops(spark, sf_dir), ["seq"])
+    return found.groupBy("collection").agg(F.count("*").alias("live"))
 
 
