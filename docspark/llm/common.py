@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -73,7 +73,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/docspark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def counted(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``written``, and how many rows (that meet the condition) there are, counted while writing.
+
+    A task that runs again can be counted again, so only 0 or not 0 is meant to be used.
+    """
+    seen = Observation()
+    hit = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    out = written(df.observe(seen, F.count_if(hit).alias("n")), name)
+    return out, seen.get["n"]
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once what was made from them is written itself."""
+    for df in tables:
+        path = getattr(df, "written_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written_by_key(df: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, ship, text_or_empty, written, written_by_key
+from .common import counted, dropped, pick, ship, text_or_empty, written
 from .text_hash import NOT_SPACE, bounds, buffers, groups, mix, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -30,8 +30,9 @@ EMPTY = 0xFFFF
 COLLISION = 2.0**-MANTISSA_BITS / 3
 #: Candidates stay if their estimate is within so many standard errors of the threshold.
 SIGMAS = 5.0
-#: Members of a group that are paired with each other at most; larger groups get a hub.
-PAIRED = 16
+#: Groups with so many members at most beside their largest component are compared in tasks; others get hubs.
+#: Both ways are exact.
+TOGETHER = 256
 
 
 def registers(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
@@ -136,9 +137,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(keys[emit].view(np.int64)),
                 pa.array(batch.column("cid").to_numpy()[row]),
-                pa.array(sizes[row].astype(np.int32)),
             ],
-            names=["band", "cid", "n"],
+            names=["band", "cid"],
         )
 
 
@@ -167,17 +167,27 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _hub_sets(hubs: pa.Array, texts: pa.Array) -> list[np.ndarray]:
+    """``_sets`` of ``texts``, where neighbouring rows with one hub share one array."""
+    ids = hubs.to_numpy()
+    first = np.ones(len(ids), bool)
+    first[1:] = ids[1:] != ids[:-1]
+    found = _sets(texts.take(pa.array(np.flatnonzero(first))))
+    return [found[k] for k in np.cumsum(first) - 1]
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(_sets(batch.column("text_a")), _sets(batch.column("text_b")), strict=True):
+        hubs = _hub_sets(batch.column("a"), batch.column("text_a"))
+        for x, y in zip(hubs, _sets(batch.column("text_b")), strict=True):
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that each node of ``links`` (a, b) can reach.
+    """(node, comp): the smallest node that each node of ``links`` (a, b) can reach; written.
 
     Rounds of taking the neighbours' smallest label, then the label's own
     label, each written to the shared folder, until none changes.
@@ -198,23 +208,47 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.col("comp").alias("was"), F.least("comp", "near").alias("low")
         )
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
-        after = written(
-            lower.join(jump, "low").select("node", "was", F.least("low", "next").alias("comp")), "labels"
-        )
-        labels = after.select("node", "comp")
-        if after.where("comp <> was").isEmpty():
+        after = lower.join(jump, "low").select("node", F.least("low", "next").alias("comp"), "was")
+        after, changed = counted(after, "labels", F.col("comp") != F.col("was"))
+        dropped(labels)
+        labels = after
+        if not changed:
+            dropped(edges)
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) once ``links`` (a, b) hold, too; nodes without a label are their own component.
+
+    Only links between two components count, as links of the components; all the rest is done already.
+    """
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias(side), F.col("comp").alias(f"of_{side}"))
+        ends = ends.join(known, side, "left")
+    ends = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    new, n = counted(ends.where("a <> b").distinct(), "new_links")
+    if not n:
+        dropped(new)
+        return labels
+    tops = components(new)
+    moved = labels.join(tops.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
+    moved = moved.select("node", F.coalesce("top", "comp").alias("comp"))
+    fresh = tops.select("node", "comp").join(labels.select("node"), "node", "left_anti")
+    after = written(moved.unionByName(fresh), "labels")
+    dropped(labels, tops, new)
+    return after
+
+
 def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, text_a, text_b): the members' texts move, the hubs' come to them."""
+    """(a, b, text_a, text_b): the members' texts move, the hubs' come to them; either join can be split if skewed."""
     full = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
     full = full.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b")
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _likely_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and registers leave possible."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     sides = pairs
     for side in ("b", "a"):
@@ -226,13 +260,55 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
             ),
             side,
         )
-    likely = written(
-        sides.where(100 * small >= PERCENT * large)
-        .select("a", "b", "registers_a", "registers_b")
-        .mapInArrow(_likely, "a long, b long"),
-        "likely",
-    )
-    return written(_pair_texts(likely, texts).mapInArrow(_linked, "a long, b long"), "links")
+    sides = sides.where(100 * small >= PERCENT * large).select("a", "b", "registers_a", "registers_b")
+    return sides.mapInArrow(_likely, "a long, b long")
+
+
+def _parts(left: DataFrame) -> DataFrame:
+    """Members of open groups dealt to parts of about ``TOGETHER``: one part for each of those of the group's
+    largest component, every part for each of the others (``beside``, ``TOGETHER`` at most)."""
+    parts = F.ceil((F.col("k") - F.col("n_beside")) / TOGETHER).cast("int")
+    own = F.pmod(F.xxhash64("cid", "band"), parts).cast("int")
+    dealt = F.when(F.col("beside"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    return left.select("band", "cid", "comp", "top", "beside", F.explode(dealt).alias("part"))
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of different components in each part of a group; rows come part by part."""
+    least = PERCENT / 100
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch | None:
+        names = ("cid", "comp", "n_shingles", "n_shared", "at_pivot", "beside")
+        cid, comp, n, shared, pivot, beside = (rows.column(c).to_numpy() for c in names)
+        first = rows.column("part")[0].as_py() == 0  # those beside the largest component meet there only
+        found = _matrix(rows.column("registers").combine_chunks())
+        place, others, out = np.arange(len(cid)), shared - pivot, []
+        for i in np.flatnonzero(beside):
+            at = np.flatnonzero((comp != comp[i]) & (~beside | (first & (place > i))))
+            at = at[100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i])]
+            most = np.minimum(pivot[at], pivot[i]) + np.minimum(others[at], others[i])
+            at = at[(100 + PERCENT) * most >= PERCENT * (n[at] + n[i])]
+            if len(at):
+                guess, used = estimate(found[i][None, :], found[at])
+                at = at[guess >= least - SIGMAS * np.sqrt(least * (1 - least) / np.maximum(used, 1))]
+                out.append(np.stack([np.minimum(cid[at], cid[i]), np.maximum(cid[at], cid[i])]))
+        if not out:
+            return None
+        a, b = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        band, part = (table.column(c).to_numpy() for c in ("band", "part"))
+        cuts = np.concatenate([[0], np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if (made := pairs(table.slice(i, j - i))) is not None:
+                yield made
+        rest = table.slice(cuts[-1]) if len(band) else None
+    if rest is not None and (made := pairs(rest)) is not None:
+        yield made
 
 
 def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,15 +320,15 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles of either must then have one in common; ``slots`` is that number.
     """
     for batch in batches:
-        linked, slots, outside, size = [], [], [], []
-        for hub, own in zip(_sets(batch.column("text_a")), _sets(batch.column("text_b")), strict=True):
+        linked, slots, outside = [], [], []
+        hubs = _hub_sets(batch.column("a"), batch.column("text_a"))
+        for hub, own in zip(hubs, _sets(batch.column("text_b")), strict=True):
             rest = np.setdiff1d(own, hub, assume_unique=True)
             both = len(own) - len(rest)
             linked.append(100 * both >= PERCENT * (len(hub) + len(rest)))
             least = -(-PERCENT * (len(own) + len(hub)) // (100 + PERCENT))
             slots.append(max(0, len(rest) - max(1, least - both) + 1))
             outside.append(rest.view(np.int64))
-            size.append(len(own))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("a"),
@@ -260,14 +336,13 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(linked, pa.bool_()),
                 pa.array(slots, pa.int32()),
                 pa.array(outside, pa.list_(pa.int64())),
-                pa.array(size, pa.int32()),
             ],
-            names=["a", "b", "linked", "slots", "outside", "n"],
+            names=["a", "b", "linked", "slots", "outside"],
         )
 
 
 def _prefixes(beside: DataFrame) -> DataFrame:
-    """(band, cid, n): the prefixes of members outside their hub, without what occurs once there.
+    """(band, cid): the prefixes of members outside their hub, without what occurs once there.
 
     A band is a hub with a shingle.
 
@@ -275,99 +350,152 @@ def _prefixes(beside: DataFrame) -> DataFrame:
     up slots and pair with nothing; those that nearly all members have, which
     the hub happens to lack, come last.
     """
-    some = beside.where("slots > 0").select("a", F.col("b").alias("cid"), F.col("n").alias("size"), "slots", "outside")
+    some = beside.where("slots > 0").select("a", F.col("b").alias("cid"), "slots", "outside")
     rows = some.select("a", "cid", F.explode("outside").alias("shingle"))
     common = rows.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(common, ["a", "shingle"]).groupBy("a", "cid")
     shared = shared.agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("shared"))  # inside one set
     left = F.col("slots") - (F.size("outside") - F.size("shared"))
-    cut = some.join(shared, ["a", "cid"]).where(left > 0).select("a", "cid", "size", F.slice("shared", F.lit(1), F.greatest(left, F.lit(0))).alias("own"))
-    cut = cut.select("a", "cid", "size", F.explode("own.shingle").alias("shingle"))
-    return cut.select(F.xxhash64("a", "shingle").alias("band"), "cid", F.col("size").alias("n"))
+    cut = some.join(shared, ["a", "cid"]).where(left > 0)
+    cut = cut.select("a", "cid", F.explode(F.slice("shared", F.lit(1), F.greatest(left, F.lit(0)))["shingle"]).alias("shingle"))
+    return cut.select(F.xxhash64("a", "shingle").alias("band"), "cid")
 
 
-def _united(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.unionByName(more)
-    return out
+def _open_groups(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The members (band, cid) of groups that hold several components; whether some are large.
+
+    With comp, top (the group's largest component), k (members), beside (not of top) and n_beside (members that are not).
+    A group with more than ``TOGETHER`` of those is large.
+    """
+    known = rows.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left")
+    known = known.select("band", "cid", F.coalesce("comp", "cid").alias("comp"))
+    several = known.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band")
+    several = several.agg(F.sum("n").alias("k"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
+    several = several.where("comps > 1").select("band", "k", "top", (F.col("k") - F.col("top.n")).alias("n_beside"))
+    left = known.join(several, "band").withColumn("beside", F.col("comp") != F.col("top.comp"))
+    left = left.withColumn("top", F.col("top.comp"))
+    return counted(left, "open_groups", F.col("n_beside") > TOGETHER)
+
+
+def _hubs(members: DataFrame, order: list) -> DataFrame:
+    """``members`` of different components than their group's first, a, by ``order``: (band, cid, comp, a, comp_a)."""
+    hub = members.groupBy("band").agg(F.min(F.struct(*order, "cid", "comp")).alias("hub"))
+    return members.join(hub.select("band", F.col("hub.cid").alias("a"), F.col("hub.comp").alias("comp_a")), "band")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cids = batch.column("cid").to_numpy()
+        for i, _, hashes, rows in shingle_sets(batch.column("text")):
+            columns = [pa.array(cids[i + rows]), pa.array(hashes.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "shingle"])
+
+
+def _shared_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cid, shingle): those shingles of the members that another member has, too."""
+    rows = texts.join(members.select("cid").distinct(), "cid", "left_semi").mapInArrow(_shingles, "cid long, shingle long")
+    return rows.join(rows.groupBy("shingle").count().where("count > 1").select("shingle"), "shingle")
+
 
+def _able(shared: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(cid, n_shared, n_shingles, registers) of the members that can have a link among themselves.
 
-def _mixed(rows: DataFrame, group: list[str], labels: DataFrame, name: str) -> DataFrame:
-    """``rows`` (group, cid) with each cid's component, of the groups that hold several components."""
-    known = rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    known = known.withColumn("comp", F.coalesce("comp", "cid"))
-    several = known.groupBy(*group).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    return written(known.join(several.select(*group), group, "left_semi"), name)
+    A set's shingles that no other member has are outside every intersection,
+    and a link needs PERCENT of either set's shingles inside.
+    """
+    counts = shared.groupBy("cid").agg(F.count("*").alias("n_shared"))
+    known = counts.join(sketches.select("cid", "n_shingles", "registers"), "cid")
+    return known.where(100 * F.col("n_shared") >= PERCENT * F.col("n_shingles"))
 
 
-def _hub_pairs(members: DataFrame, order: list) -> DataFrame:
-    """Each member (b) of a band group with the group's first (a); a and b may stand in any order of size."""
-    hub = members.groupBy("band").agg(F.min(F.struct(*order, "cid")).alias("hub"))
-    hub = hub.select("band", F.col("hub.cid").alias("a"))
-    return members.join(hub, "band").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+def _at_pivots(left: DataFrame, shared: DataFrame) -> DataFrame:
+    """(top, cid, at_pivot): how many shingles a member of a group shares with the pivot of its largest component.
+
+    The pivot is the component's member in most groups. Two sets have no more
+    in common than the less they share with the pivot and the less they share
+    with others beside it.
+    """
+    often = left.where("not beside").groupBy("top", "cid").agg(F.count("*").alias("n")).groupBy("top")
+    pivots = often.agg(F.max(F.struct("n", "cid"))["cid"].alias("cid"))
+    own = pivots.join(shared, "cid").select("top", "shingle", F.lit(1).alias("there"))
+    wanted = left.select("top", "cid").distinct().join(shared, "cid").join(own, ["top", "shingle"], "left")
+    return wanted.groupBy("top", "cid").agg(F.count("there").alias("at_pivot"))
+
+
+def _with_links(labels: DataFrame, likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """``labels`` once those of the ``likely`` pairs hold that the full sets confirm."""
+    likely, n = counted(likely, "likely")
+    if n:
+        links = written(_pair_texts(likely, texts).mapInArrow(_linked, "a long, b long"), "links")
+        labels = _merged(labels, links)
+        dropped(links)
+    dropped(likely)
+    return labels
 
 
 def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | None:
     """(node, comp) of the classes that have a link, or None if none can have.
 
-    Band groups are not expanded into pairs. First each member meets its
-    group's smallest set, then one drawn anew in each band; links join classes
-    into components. In the groups that still hold several components, a
-    missing link needs shingles in common outside the group's smallest set
-    (see ``_outside``): only members of different components that share one
-    of those stay together. Such a group is paired if it is small; a larger
-    one is treated like a band: its smallest set is its hub, and so on, until
-    no group is left. Hubs grow in (size, id) from step to step, so that ends;
-    nothing is capped. Copies with edits of their own, be there any number,
-    share no such shingle.
+    Band groups are not expanded into pairs. First each member meets one hub
+    of its group; links join classes into components. In groups that still hold
+    several, those outside the largest component meet a member drawn from it.
+    Members that share too few shingles with any other one are left out (see
+    ``_able``). What is left then:
+
+    - if ``TOGETHER`` members at most are outside the group's largest
+      component, they are compared by their registers with each other and with
+      all the rest, in parts of bounded size;
+    - in any other group a missing link needs shingles in common outside the
+      group's smallest set (see ``_outside``): only members that share one of
+      those stay together, as groups of the next turn.
+
+    Hubs grow in (size, id) from turn to turn, so that ends; nothing is
+    capped. Copies with edits of their own, be there any number, share no such
+    shingle. A turn works on the links between components only.
     """
-    bands = sketches.select("cid", "n_shingles", "registers").mapInArrow(_bands, "band long, cid long, n int")
-    shared = bands.groupBy("band").count().where("count > 1").select("band")
-    hits = written(bands.join(shared, "band", "left_semi"), "hits")
-    if hits.isEmpty():
+    bands = sketches.select("cid", "n_shingles", "registers").mapInArrow(_bands, "band long, cid long")
+    hubs = bands.groupBy("band").agg(F.min("cid").alias("a"), F.count("*").alias("k")).where("k > 1").select("band", "a")
+    hits, n = counted(bands.join(hubs, "band"), "hits")
+    if not n:
         return None
-    texts = written_by_key(
+    texts = written(
         sketched.select(F.col("row").alias("cid"), "text").join(hits.select("cid").distinct(), "cid", "left_semi"),
-        ["cid"],
         "candidate_texts",
     )
-    pairs = written(_hub_pairs(hits, ["n"]), "pairs")
-    links = [_confirmed(pairs, sketches, texts)]
-    labels = components(links[0])
-    left = _mixed(hits, ["band"], labels, "mixed_bands")
-    if left.isEmpty():
-        return labels
-    drawn = _hub_pairs(left, [F.xxhash64("cid", "band").alias("order")])
-    known = labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    drawn = drawn.join(known, "b", "left").join(known.toDF("a", "comp_a"), "a", "left")
-    drawn = drawn.where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
-    drawn = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links.append(_confirmed(written(drawn, "pairs"), sketches, texts))
-    labels = components(_united(links))
-    left = _mixed(left.select("band", "cid", "n"), ["band"], labels, "mixed_bands")
-    if left.isEmpty():
-        return labels
-    while not left.isEmpty():
-        size = left.groupBy("band").agg((F.count("*") <= PAIRED).alias("paired"))
-        sized = written(left.join(size, "band"), "sized_bands")
-        few = sized.where("paired").select("band", "cid", "n", "comp")
-        other = few.toDF("band", "cid_2", "n_2", "comp_2")
-        alike = F.least("n", "n_2") * 100 >= PERCENT * F.greatest("n", "n_2")
-        rest = few.join(other, "band").where((F.col("comp") < F.col("comp_2")) & alike)
-        rest = rest.select(F.least("cid", "cid_2").alias("a"), F.greatest("cid", "cid_2").alias("b")).distinct()
-        links.append(_confirmed(written(rest, "pairs"), sketches, texts))
-        many = sized.where("not paired").select("band", "cid", "n")
+    pairs = hits.where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    likely = written(_likely_pairs(pairs, sketches), "likely")
+    links = written(_pair_texts(likely, texts).mapInArrow(_linked, "a long, b long"), "links")
+    labels = components(links)
+    dropped(likely, links)
+    groups = hits
+    while True:
+        left, _ = _open_groups(groups.select("band", "cid"), labels)
+        drawn = left.where("not beside").groupBy("band").agg(F.min(F.struct(F.xxhash64("cid", "band"), "cid"))["cid"].alias("a"))
+        drawn = left.where("beside").join(drawn, "band").select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
+        labels = _with_links(labels, _likely_pairs(drawn.distinct(), sketches), texts)
+        shared = written(_shared_shingles(left, texts), "shared_shingles")
+        able = written(_able(shared, sketches), "able")
+        still, large = _open_groups(left.select("band", "cid").join(able.select("cid"), "cid", "left_semi"), labels)
+        dropped(left, groups)
+        left = still
+        few = left.where(F.col("n_beside") <= TOGETHER)
+        few = _parts(few).join(able, "cid").join(_at_pivots(few, shared), ["top", "cid"])
+        few = few.repartition("band", "part").sortWithinPartitions("band", "part")
+        labels = _with_links(labels, few.mapInArrow(_within, "a long, b long").distinct(), texts)
+        if not large:
+            dropped(left, able, shared, texts)
+            return labels
+        sized = left.where(F.col("n_beside") > TOGETHER).join(able.select("cid", "n_shingles"), "cid")
+        least = _hubs(sized, ["n_shingles"]).where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
         beside = written(
-            _pair_texts(_hub_pairs(many, ["n"]), texts).mapInArrow(
-                _outside, "a long, b long, linked boolean, slots int, outside array<long>, n int"
+            _pair_texts(least, texts).mapInArrow(
+                _outside, "a long, b long, linked boolean, slots int, outside array<long>"
             ),
             "outside",
         )
-        links.append(beside.where("linked").select("a", "b"))
-        labels = components(_united(links))
-        left = _mixed(written(_prefixes(beside), "prefixes"), ["band"], labels, "mixed_bands")
-    return labels
+        labels = _merged(labels, beside.where("linked").select("a", "b"))
+        groups = written(_prefixes(beside), "prefixes")
+        dropped(left, able, shared, beside)
 
 
 def sketch_documents(

@@ -263,7 +263,7 @@ def test_op9_equals_brute_force(spark, sf_dir, plain):
 @pytest.mark.parametrize("paired", [2, 16])
 def test_op9_chains_around_one_text(spark, monkeypatch, paired):
     """Edited copies of one text, chains of edits and clusters beside a common part."""
-    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    monkeypatch.setattr(near_dedup, "TOGETHER", paired)
     random = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     rows = []
