@@ -274,27 +274,40 @@ def _parts(left: DataFrame) -> DataFrame:
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components in each part of a group; rows come part by part."""
+    """Links between different components in each part of a group; rows come part by part.
+
+    A member needs one link with another component: its likeliest partners
+    are tried first, the others only as long as there is no link.
+    """
     least = PERCENT / 100
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-        names = ("cid", "comp", "n_shingles", "n_shared", "at_pivot", "beside")
-        cid, comp, n, shared, pivot, beside = (rows.column(c).to_numpy() for c in names)
+        names = ("cid", "comp", "n_shingles", "at_pivot", "beside")
+        cid, comp, n, pivot, beside = (rows.column(c).to_numpy() for c in names)
         first = rows.column("part")[0].as_py() == 0  # those beside the largest component meet there only
         found = _matrix(rows.column("registers").combine_chunks())
-        place, others, out = np.arange(len(cid)), shared - pivot, []
+        shared = rows.column("shared").combine_chunks()
+        sets = np.split(shared.flatten().to_numpy(), np.cumsum(shared.value_lengths().to_numpy())[:-1])
+        place, others, links = np.arange(len(cid)), np.array([len(x) for x in sets]) - pivot, []
         for i in np.flatnonzero(beside):
             at = np.flatnonzero((comp != comp[i]) & (~beside | (first & (place > i))))
             at = at[100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i])]
             most = np.minimum(pivot[at], pivot[i]) + np.minimum(others[at], others[i])
             at = at[(100 + PERCENT) * most >= PERCENT * (n[at] + n[i])]
-            if len(at):
-                guess, used = estimate(found[i][None, :], found[at])
-                at = at[guess >= least - SIGMAS * np.sqrt(least * (1 - least) / np.maximum(used, 1))]
-                out.append(np.stack([np.minimum(cid[at], cid[i]), np.maximum(cid[at], cid[i])]))
-        if not out:
+            if not len(at):
+                continue
+            guess, used = estimate(found[i][None, :], found[at])
+            likely = guess >= least - SIGMAS * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+            done = set()
+            for j in at[likely][np.argsort(-guess[likely], kind="stable")]:
+                if comp[j] not in done:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if (100 + PERCENT) * both >= PERCENT * (n[i] + n[j]):
+                        done.add(comp[j])
+                        links.append((cid[i], cid[j]))
+        if not links:
             return None
-        a, b = np.concatenate(out, axis=1)
+        a, b = np.array(links, np.int64).T
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     rest = None
@@ -392,20 +405,24 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(cid, shingle): those shingles of the members that another member has, too."""
+    """(cid, shingle): those shingles of the members that another member has, too; written."""
     rows = texts.join(members.select("cid").distinct(), "cid", "left_semi").mapInArrow(_shingles, "cid long, shingle long")
-    return rows.join(rows.groupBy("shingle").count().where("count > 1").select("shingle"), "shingle")
+    # by itself, so that a join with a frequent shingle can be split
+    common = written(rows.groupBy("shingle").count().where("count > 1").select("shingle"), "common_shingles")
+    shared = written(rows.join(common, "shingle"), "shared_shingles")
+    dropped(common)
+    return shared
 
 
 def _able(shared: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(cid, n_shared, n_shingles, registers) of the members that can have a link among themselves.
+    """(cid, shared, n_shingles, registers) of the members that can have a link among themselves.
 
     A set's shingles that no other member has are outside every intersection,
     and a link needs PERCENT of either set's shingles inside.
     """
-    counts = shared.groupBy("cid").agg(F.count("*").alias("n_shared"))
-    known = counts.join(sketches.select("cid", "n_shingles", "registers"), "cid")
-    return known.where(100 * F.col("n_shared") >= PERCENT * F.col("n_shingles"))
+    sets = shared.groupBy("cid").agg(F.collect_list("shingle").alias("shared"))  # inside one set
+    known = sets.join(sketches.select("cid", "n_shingles", "registers"), "cid")
+    return known.where(100 * F.size("shared") >= PERCENT * F.col("n_shingles"))
 
 
 def _at_pivots(left: DataFrame, shared: DataFrame) -> DataFrame:
@@ -443,8 +460,8 @@ def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | Non
     ``_able``). What is left then:
 
     - if ``TOGETHER`` members at most are outside the group's largest
-      component, they are compared by their registers with each other and with
-      all the rest, in parts of bounded size;
+      component, they are compared, by their registers and then in full, with
+      each other and with all the rest, in parts of bounded size;
     - in any other group a missing link needs shingles in common outside the
       group's smallest set (see ``_outside``): only members that share one of
       those stay together, as groups of the next turn.
@@ -455,7 +472,9 @@ def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | Non
     """
     bands = sketches.select("cid", "n_shingles", "registers").mapInArrow(_bands, "band long, cid long")
     hubs = bands.groupBy("band").agg(F.min("cid").alias("a"), F.count("*").alias("k")).where("k > 1").select("band", "a")
+    hubs = written(hubs, "hubs")  # by itself, so that the join with a large group can be split
     hits, n = counted(bands.join(hubs, "band"), "hits")
+    dropped(hubs)
     if not n:
         return None
     texts = written(
@@ -473,7 +492,7 @@ def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | Non
         drawn = left.where("not beside").groupBy("band").agg(F.min(F.struct(F.xxhash64("cid", "band"), "cid"))["cid"].alias("a"))
         drawn = left.where("beside").join(drawn, "band").select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
         labels = _with_links(labels, _likely_pairs(drawn.distinct(), sketches), texts)
-        shared = written(_shared_shingles(left, texts), "shared_shingles")
+        shared = _shared_shingles(left, texts)
         able = written(_able(shared, sketches), "able")
         still, large = _open_groups(left.select("band", "cid").join(able.select("cid"), "cid", "left_semi"), labels)
         dropped(left, groups)
@@ -481,7 +500,9 @@ def _classes_linked(sketches: DataFrame, sketched: DataFrame) -> DataFrame | Non
         few = left.where(F.col("n_beside") <= TOGETHER)
         few = _parts(few).join(able, "cid").join(_at_pivots(few, shared), ["top", "cid"])
         few = few.repartition("band", "part").sortWithinPartitions("band", "part")
-        labels = _with_links(labels, few.mapInArrow(_within, "a long, b long").distinct(), texts)
+        links = written(few.mapInArrow(_within, "a long, b long"), "links")
+        labels = _merged(labels, links)
+        dropped(links)
         if not large:
             dropped(left, able, shared, texts)
             return labels
