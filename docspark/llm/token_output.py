@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import pick, ship, text_or_empty, written
+from .text_hash import buffers, groups
 
 BLOCK = 256
 PERCENTILE = 95
@@ -151,18 +153,27 @@ def read_block(data: bytes, k: int) -> np.ndarray:
 
 
 _ADJACENT = re.compile(r"\s\s")
+#: Marks that pre-tokenization cuts from a letter before them and keeps together up to the next space.
+_TAIL = ".,!?;:%$&#*"
+_TAILS = 1 << 12
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: When a worker remembers so many pieces, it starts anew and keeps the old ones only until the next time.
-REMEMBERED = 3 << 18
+#: When a worker remembers about so many bytes, it starts anew and keeps the old ones only until the next time.
+REMEMBERED_BYTES = 64 << 20
+#: Bytes that a remembered piece takes beside its own and its ids'.
+_ENTRY = 150
+#: Bytes of text encoded at once, one text at least.
+AT_ONCE = 4 << 20
 _workers: dict[str, "_Encoder"] = {}
 
 
 class _Encoder:
-    """Ids as little-endian bytes, by the tokenizers library, each distinct piece once.
+    """Ids by the tokenizers library, each distinct piece once.
 
     Byte-level pre-tokenization always cuts before a single space between two
     other characters, and merges never cross a cut. So a text's ids are the
-    ids of the pieces between such spaces, one after the other.
+    ids of the pieces between such spaces, one after the other. The library's
+    defaults hold: the string of a special token in a text gives its id, with a
+    space before it as a piece of its own; it holds no space, so no cut parts it.
     """
 
     def __init__(self, path: str):
@@ -172,20 +183,39 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         size = self.tokenizer.get_vocab_size()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.opens = np.array([t.startswith("\u0120") for t in tokens])  # how byte-level tokens write a space
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.size = 0
+        self.tails: dict[str, bytes] = {"": b""}
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if text[:1].isspace() or text[-1:].isspace() or _ADJACENT.search(text):
-            return _LONE_SPACE.split(text)
-        return text.split(" ")
+    def _pieces(texts: list[str]) -> pa.Array:
+        """Each text's pieces. Where no two spaces meet, every single space is a cut."""
+        odd = np.array([t[:1].isspace() or t[-1:].isspace() or _ADJACENT.search(t) is not None for t in texts], bool)
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        n = len(texts) - int(odd.sum())
+        kind = pa.large_list(pa.large_string())
+        plain = pc.split_pattern(pa.array([texts[i] for i in order[:n]], pa.large_string()), " ").cast(kind)
+        rest = pa.array([_LONE_SPACE.split(texts[i]) for i in order[n:]], kind)
+        return pa.concat_arrays([plain, rest]).take(pa.array(np.argsort(order)))
 
     def _learn(self, new: list[str]) -> None:
+        """Add pieces (each follows a space): a word by itself and the marks after it, which are cut from its last letter."""
+        cut = [(p, s) for p in new if (s := p.rstrip(_TAIL)) != p and s and s[-1].isalpha()]
+        stems = {s for _, s in cut}.union(new).difference((p for p, _ in cut), self.known)
+        self._encode(list(stems))
+        for piece, stem in cut:
+            tail = piece[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+            self.known[piece] = self.known[stem] + self.tails[tail]
+        if len(self.tails) > _TAILS:
+            self.tails.clear()
+
+    def _encode(self, new: list[str]) -> None:
         """Add pieces (each follows a space). Plain ones are encoded many at a time, as one text.
 
         A plain piece has no space in it, so its first id is the next one
@@ -193,7 +223,7 @@ class _Encoder:
         """
         plain = [p for p in new if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
         if len(plain) < len(new):
-            odd = set(new).difference(plain)
+            odd = list(set(new).difference(plain))
             found = self.tokenizer.encode_batch_fast([" " + p for p in odd], add_special_tokens=False)
             self.known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(odd, found, strict=True))
         runs = [" " + " ".join(plain[i : i + 64]) for i in range(0, len(plain), 64)]
@@ -205,23 +235,42 @@ class _Encoder:
         at, raw = [*(4 * starts).tolist(), 4 * len(ids)], ids.tobytes()
         self.known.update((p, raw[s:e]) for p, s, e in zip(plain, at[:-1], at[1:], strict=True))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces that follow a space."""
+        if self.size > REMEMBERED_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
-        split = [self._pieces(t) for t in texts]
-        new = set().union(*(pieces[1:] for pieces in split)).difference(known)
+        new = [p for p in pieces if p not in known]
         if older:
-            again = new.intersection(older)
-            known.update((p, older[p]) for p in again)
-            new -= again
-        self._learn(list(new))
-        first = self.tokenizer.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
-        get = known.__getitem__
-        return [
-            np.array(x.ids, "<u4").tobytes() + b"".join(map(get, pieces[1:]))
-            for x, pieces in zip(first, split, strict=True)
-        ]
+            known.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in older]
+        self._learn(new)
+        self.size += sum(len(p) + len(known[p]) + _ENTRY for p in new)
+        return list(map(known.__getitem__, pieces))
+
+    def __call__(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after the other, each text's with ``end`` after them, and how many each has."""
+        lists = self._pieces(texts)
+        size = lists.value_lengths().to_numpy()
+        first = np.cumsum(size) - size
+        at_first = np.zeros(int(size.sum()), bool)
+        at_first[first] = True
+        flat = lists.flatten()
+        rest = flat.filter(pa.array(~at_first)).dictionary_encode()
+        ids = self._ids(rest.dictionary.to_pylist())
+        n = len(ids)
+        opening = self.tokenizer.encode_batch_fast(flat.filter(pa.array(at_first)).to_pylist(), add_special_tokens=False)
+        ids += [np.array(x.ids, "<u4").tobytes() + end * (k == 1) for x, k in zip(opening, size.tolist(), strict=True)]
+        ids += [end]
+        which = np.empty(len(flat), np.int64)
+        which[at_first] = n + np.arange(len(texts))
+        which[~at_first] = rest.indices.to_numpy()
+        many = np.flatnonzero(size > 1)  # the others' end stands with their only piece
+        which = np.insert(which, first[many] + size[many], n + len(texts))
+        begin = first + np.cumsum(size > 1) - (size > 1)
+        length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        found = np.frombuffer(b"".join(map(ids.__getitem__, which.tolist())), "<u4")
+        return found, np.add.reduceat(length[which], begin, dtype=np.int64) if len(begin) else length
 
 
 _SEGMENT_SCHEMA = (
@@ -238,25 +287,28 @@ def _segments(tokenizer_path: str, end_id: int):
             _workers[tokenizer_path] = _Encoder(tokenizer_path)
         encoder, file = _workers[tokenizer_path], TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        ids, counts, parts, segment, first = [], [], [], 0, 0
+        ids, counts, parts, segment, first, size = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, counts, parts, segment, first
-            n = sum(counts)
-            columns = [[file], [segment], [first], [n], [ids], [counts], [encode(np.frombuffer(b"".join(parts), "<u4"))]]
+            nonlocal ids, counts, parts, segment, first, size
+            columns = [[file], [segment], [first], [size], [ids], [counts], [encode(np.concatenate(parts))]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["file", "segment", "first_token", "n_tokens", "doc_ids", "doc_tokens", "payload"]
-            ids, counts, parts, segment, first = [], [], [], segment + 1, first + n
+            ids, counts, parts, segment, first, size = [], [], [], segment + 1, first + size, 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                for doc, tokens in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist()), strict=True):
+            for i, j in groups(buffers(batch.column(1))[1], AT_ONCE):
+                part = batch.slice(i, j - i)
+                found, lengths = encoder(part.column(1).to_pylist(), end)
+                at = 0
+                for doc, n in zip(part.column(0).to_pylist(), lengths.tolist(), strict=True):
                     ids.append(doc)
-                    counts.append(len(tokens) // 4 + 1)
-                    parts += (tokens, end)
-                    if sum(counts) >= SEGMENT_TOKENS:
+                    counts.append(n)
+                    parts.append(found[at : at + n])
+                    at += n
+                    size += n
+                    if size >= SEGMENT_TOKENS:
                         yield flush()
         if ids:
             yield flush()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from docspark.llm import license_scan, queries, token_output
 
 
@@ -9,12 +11,23 @@ def test_op8_pieces_of_special_strings():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    texts = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", " <|endoftext|>  <|endoftext|> x", "x <|endoftext|>y <|end"]
-    got = token_output._Encoder(queries.tokenizer_path())(texts)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", " <|endoftext|>  <|endoftext|> x", "x <|endoftext|>y <|end", ""]
+    ids, counts = token_output._Encoder(queries.tokenizer_path())(texts)
     whole = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert got == [b"".join(i.to_bytes(4, "little") for i in ids) for ids in whole]
-    assert not any(50256 in ids for ids in whole)
+    assert counts.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
+    assert whole[0] == [64, 220, 50256, 275]
+
+
+def test_op8_odd_strings_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    random = np.random.default_rng(8)
+    alphabet = [" ", " ", "  ", "\n", "\t", "a", "the", "é", "\u00a0", "\u3000", "'s", "12", "!", "<|endoftext|>", "<|", "\0", "🙂", "\r\n"]
+    texts = ["".join(random.choice(alphabet, random.integers(0, 12))) for _ in range(4000)]
+    ids, counts = token_output._Encoder(queries.tokenizer_path())(texts, np.array([0], "<u4").tobytes())
+    whole = [[*x.ids, 0] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
 
 
 def scanned(spark, *texts):

@@ -45,6 +45,7 @@ def awkward(spark):
         (9, "Ünïcödé Öl ÄÖ \0 null byte 🙂", "de", "b"),
         (10, "12 34 !!", None, "a"),
         (11, "<|endoftext|>  two  spaces ", "en", "a"),
+        (12, "glued<|endoftext|>words <|endoftext|> and<|endoftext|> <|endoftext|>more", "en", "a"),
     ]
     wide = [(i, t, lang, s, "clash", 1) for i, t, lang, s in rows]
     return spark.createDataFrame(wide, "a long, b string, c string, d string, e string, f long").toDF(*[c.split()[0] for c in SCHEMA.split(", ")])
@@ -126,7 +127,7 @@ def test_op3_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (9, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for model in (quality.train(awkward, labels), quality.train(awkward, labels.limit(0)), quality.train(empty, labels)):
         found = quality.quality_scores(awkward, model).collect()
-        assert len(found) == 12 and all(0 <= r.score <= 1 for r in found)
+        assert len(found) == 13 and all(0 <= r.score <= 1 for r in found)
         assert quality.quality_scores(empty, model).count() == 0
         assert quality.good_documents(awkward, model).columns == awkward.columns
 
@@ -140,7 +141,7 @@ def test_op4_held_out_accuracy(spark):
 
 def test_op4_awkward(awkward, empty):
     found = language.predict_language(awkward, language.train(awkward)).collect()
-    assert len(found) == 12
+    assert len(found) == 13
     assert {r.doc_id for r in found if r.lang_pred == "und"} >= {1, 2, 3, 10}
     assert all(r.score == 0 for r in found if r.lang_pred == "und")
     assert {r.lang_pred for r in language.predict_language(awkward, language.train(empty)).collect()} == {"und"}
@@ -210,7 +211,7 @@ def test_op7_awkward(spark, awkward, empty):
     assert by_repr(got) == by_repr(item_matches(docs, rows))
     kept = decontaminate.decontaminated(awkward, items)
     assert kept.columns == awkward.columns
-    assert sorted(str(r[0]) for r in kept.collect()) == ["1", "10", "11", "2", "3", "9"]
+    assert sorted(str(r[0]) for r in kept.collect()) == ["1", "10", "11", "12", "2", "3", "9"]
     assert decontaminate.decontaminated(empty, items).count() == decontaminate.contaminated(awkward, items.limit(0)).count() == 0
 
 
@@ -218,7 +219,6 @@ def token_rows(rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
     for i, t in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -282,14 +282,14 @@ def test_op9_chains_around_one_text(spark, monkeypatch, paired):
 
 def test_op9_awkward(awkward, empty):
     rows = near_duplicates(awkward).collect()
-    assert len(rows) == 12
+    assert len(rows) == 13
     of = {r.doc_id: r for r in rows}
     assert of[1].n_shingles == of[2].n_shingles == of[3].n_shingles == 0 and of[3].component_id == 3
     assert {r.component_id for r in rows if r.n_shingles == 1 and r.doc_id in (4, 5, None)} == {4}
     assert of[7].component_id == of[8].component_id == 7
     kept = without_near_duplicates(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(r[0] for r in kept.collect()) == [1, 2, 3, 4, 7, 9, 10, 11]
+    assert sorted(r[0] for r in kept.collect()) == [1, 2, 3, 4, 7, 9, 10, 11, 12]
     assert near_duplicates(empty).count() == without_near_duplicates(empty).count() == 0
 
 
@@ -324,7 +324,7 @@ def test_op10_target_entropy(spark, sf_dir):
 
 def test_op10_awkward(awkward, empty):
     rows = mixing.mix_sources(awkward).collect()
-    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, None, 7, 8, 9, 10, 11}
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, None, 7, 8, 9, 10, 11, 12}
     mixed = mixing.mixed_documents(awkward)
     assert mixed.columns == awkward.columns and mixed.count() >= awkward.count()
     assert mixing.mix_sources(empty).count() == mixing.mixed_documents(empty).count() == 0
