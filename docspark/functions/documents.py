@@ -29,13 +29,15 @@ from .predicates import (
 
 
 def _json_path(path: str) -> str:
+    # fixed value: what a field path may be
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.-]{0,127}", path):
         raise ValueError(f"invalid field path {path!r}")
     return "$" + "".join(f'["{part}"]' for part in path.split("."))
 
 
 def rank(doc: Column, path: str) -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(F.parse_json(doc), _json_path(path), "variant"))
+    """The rank of the value's class; 0 (missing) where there is none or the document is not JSON."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), _json_path(path), "variant"))
     text = F.get_json_object(doc, "$." + path)
     number = F.when(text.cast("double") < 0, NEGATIVE).otherwise(POSITIVE)
     return (

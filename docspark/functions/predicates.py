@@ -10,6 +10,8 @@ plan is made, comparisons across classes fold to constants or to sign tests.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
 
 from pyspark.sql import Column
@@ -51,7 +53,7 @@ def class_of_value(value: object) -> str:
         return "null"
     if isinstance(value, bool):
         return "boolean"
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float, decimal.Decimal)):
         if value != value or value in (float("inf"), float("-inf")):
             raise ValueError("numbers must be finite")
         return "number"
@@ -71,6 +73,11 @@ def rank_of_value(value: object) -> int:
     return {"string": STRING, "native": STRING, "array": ARRAY, "object": OBJECT, "null": NULL}[kind]
 
 
+def _is_moment(value: object) -> bool:
+    """Whether a date or timestamp column can be compared with the value as such: a date, or text that Spark casts."""
+    return isinstance(value, (str, datetime.date, datetime.datetime, bytes))
+
+
 def compact_json(value: object) -> str:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
@@ -82,7 +89,9 @@ def collated(text: Column) -> Column:
 def _equal(x: Column, kind: str, value: object) -> Column:
     if value is None:
         return x.isNull()
-    if kind != class_of_value(value) and kind != "native":
+    if kind == "native":
+        return x.eqNullSafe(F.lit(value)) if _is_moment(value) else F.lit(False)
+    if kind != class_of_value(value):
         return F.lit(False)
     if kind in ("array", "object"):
         return F.to_json(x).eqNullSafe(F.lit(compact_json(value)))
@@ -97,7 +106,7 @@ def _compare(x: Column, kind: str, op: str, value: object) -> Column:
 
     if kind == "missing":
         return F.lit(below)
-    if kind == class_of_value(value) or kind == "native":
+    if kind == class_of_value(value) or (kind == "native" and _is_moment(value)):
         if kind == "string":
             found = plain(collated(x), collated(F.lit(value)))
         elif kind in ("array", "object"):
@@ -114,6 +123,7 @@ def _compare(x: Column, kind: str, op: str, value: object) -> Column:
             "number": [(x < 0, NEGATIVE), (x >= 0, POSITIVE)],
             "boolean": [(~x, FALSE), (x, TRUE)],
             "string": [(x.isNotNull(), STRING)],
+            "native": [(x.isNotNull(), STRING)],  # dates stand as their text does
             "array": [(x.isNotNull(), ARRAY)],
             "object": [(x.isNotNull(), OBJECT)],
         }[kind]
@@ -158,7 +168,8 @@ def predicate(schema: T.StructType, path: str, op: str, value: object, projected
     elif not isinstance(value, (list, tuple)):
         out = F.lit(False)
     else:
-        own = [v for v in value if v is not None and class_of_value(v) == kind]
+        fits = _is_moment if kind == "native" else lambda v: class_of_value(v) == kind
+        own = [v for v in value if v is not None and fits(v)]
         if kind in ("array", "object"):
             out = F.to_json(x).isin([compact_json(v) for v in own]) if own else F.lit(False)
         else:

@@ -16,6 +16,7 @@ SEMANTIC = [
     ("log|analytics|metric|report|audit|history|evento", 0.24),
 ]
 OTHER_SEMANTIC = 0.45
+# fixed values: keywords of an operation's kind; admin comes before write, as the first match counts
 ADMIN, WRITE = "index|drop|make", "insert|put|update|delete|del|write|save|commit"
 MAINTENANCE, QUERY = "flush|stats|backup|close|vacuum|checkpoint", "query|find|count|scan|where"
 
@@ -45,11 +46,18 @@ def signature(database: Column, kind: Column, operation: Column, collection: Col
 
 
 def semantic(*texts: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", *texts))
-    out = F
-    for pattern, score in SEMANTIC:
-        out = out.when(text.rlike(pattern), score)
-    return out.otherwise(OTHER_SEMANTIC)
+    """The score of the first group with a keyword in the texts; these are joined and lower-cased once."""
+
+    def scored(text: Column) -> Column:
+        out = F
+        for words, score in SEMANTIC:
+            found = F.lit(False)
+            for word in words.split("|"):
+                found |= F.contains(text, F.lit(word))
+            out = out.when(found, score)
+        return out.otherwise(OTHER_SEMANTIC)
+
+    return F.element_at(F.transform(F.array(F.lower(F.concat_ws(" ", *texts))), scored), 1)
 
 
 def hotness(hits: Column, scale: int = 64) -> Column:

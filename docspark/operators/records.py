@@ -25,8 +25,17 @@ def insert(records: DataFrame, new: DataFrame, now: Column | None = None, key: s
     ).select(*records.columns))
 
 
+def _once(new: DataFrame, key: str) -> DataFrame:
+    """``new``; an id that comes twice in it fails the job, as the batch has no order that could decide."""
+    twice = new.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    said = F.raise_error(F.concat(F.lit("id twice in one batch: "), F.col(key).cast("string")))
+    checked = F.when(F.col("_n").isNotNull(), said.cast(new.schema[key].dataType)).otherwise(F.col(key))
+    return new.join(twice, key, "left").withColumn(key, checked).drop("_n")
+
+
 def put(records: DataFrame, new: DataFrame, now: Column | None = None, key: str = "id") -> DataFrame:
-    """Insert or replace whole records; a replaced record keeps its ``createdAt``."""
+    """Insert or replace whole records; a replaced record keeps its ``createdAt``. An id twice in ``new`` fails."""
+    new = _once(new, key)
     fresh = _stamped(new, now, created=True) if now is not None else new
     if "createdAt" in records.columns:
         old = records.select(key, F.col("createdAt").alias("_created"))
@@ -39,8 +48,10 @@ def update(records: DataFrame, patch: DataFrame, now: Column | None = None, key:
     """Shallow merge. ``patch`` has the key, ``present`` (array of the names it sets) and new values.
 
     A name in ``present`` is set, to null as well; other columns stay. The id
-    and the stamps cannot be set. A patch of a missing record fails the job.
+    and the stamps cannot be set. A patch of a missing record, or two of one
+    record, fail the job.
     """
+    patch = _once(patch, key)
     names = [c for c in patch.columns if c not in (key, "present", *STAMPS)]
     news = patch.select(F.col(key).alias("_id"), "present", *[F.col(c).alias(f"_new_{c}") for c in names])
     joined = records.join(news, F.col(key) == F.col("_id"), "full")
@@ -58,6 +69,12 @@ def update(records: DataFrame, patch: DataFrame, now: Column | None = None, key:
     return joined.select(*columns)
 
 
+def with_ids(new: DataFrame, key: str = "id") -> DataFrame:
+    """``new`` with a random id wherever it has none; write it before it is used twice."""
+    given = F.col(key).cast("string") if key in new.columns else F.lit(None).cast("string")
+    return new.withColumn(key, F.coalesce(given, F.expr("uuid()")))
+
+
 def delete(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return records.join(ids.select(key), key, "left_anti")
 

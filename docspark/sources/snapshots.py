@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..operators.replay import committed, live
 
@@ -26,11 +27,30 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in done)
 
 
-def save(records: DataFrame, path: str) -> int:
-    """Write the next version; the old ones stay until ``expire``."""
-    version = max(versions(records.sparkSession, path), default=0) + 1
-    records.write.mode("overwrite").parquet(f"{path}/v={version}")
-    return version
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """All versions that some writer has begun."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+    return [int(n[2:]) for n in names if n.startswith("v=")]
+
+
+def save(records: DataFrame, path: str, attempts: int = 20) -> int:
+    """Write the next version; the old ones stay until ``expire``.
+
+    A version that another writer has begun, or left unfinished, is never
+    touched: the next free number is taken.
+    """
+    spark = records.sparkSession
+    for _ in range(attempts):
+        version = max(_numbers(spark, path), default=0) + 1
+        try:
+            records.write.mode("errorifexists").parquet(f"{path}/v={version}")
+            return version
+        except AnalysisException as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+    raise RuntimeError(f"no free version at {path} after {attempts} attempts")
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -71,6 +91,27 @@ def recovered(snapshot: DataFrame, frames: DataFrame) -> DataFrame:
     return live(base.unionByName(ops))
 
 
+def database_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(collections, records, bytes, versions) of a database: a path for each collection's snapshots."""
+    jvm = spark._jvm
+    rows, size, kept = None, 0, 0
+    for path in paths.values():
+        have = versions(spark, path)
+        kept += len(have)
+        if have:
+            newest = jvm.org.apache.hadoop.fs.Path(f"{path}/v={have[-1]}")
+            size += newest.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(newest).getLength()
+            one = spark.read.parquet(newest.toString()).agg(F.count("*").alias("records"))
+            rows = one if rows is None else rows.unionByName(one)
+    rows = rows if rows is not None else spark.createDataFrame([], "records long")
+    return rows.agg(
+        F.lit(len(paths)).alias("collections"),
+        F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+        F.lit(size).cast("long").alias("bytes"),
+        F.lit(kept).alias("versions"),
+    )
+
+
 def collection_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, records) for each collection."""
     out = None
