@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, ship, text_or_empty, written, written_by_key
+from .common import dropped, pick, ship, text_or_empty, written, written_by_key
 from .text_hash import _BYTE_VALUES, _power, buffers, mix
 
 MIN_BYTES = 400
@@ -155,19 +155,26 @@ def _starts(min_bytes: int):
     return run
 
 
-def _resolved(named: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """The phrases that repeat as a whole; one occurrence of each that the next round must see."""
+def _resolved(named: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The phrases that repeat as a whole; one occurrence of each that the next round must see; the latter's table.
+
+    The keys that occur twice are a table by themselves, so that adaptive
+    execution can split the join with a hot one.
+    """
     keys = named.groupBy("key").agg(F.count("*").alias("k"), F.min("s1").alias("x"), F.max("s1").alias("y"))
-    keys = keys.where("k > 1").select("key", (F.col("x") != F.col("y")).alias("several"))
+    keys = written(keys.where("k > 1").select("key", (F.col("x") != F.col("y")).alias("several")), "repeated_keys")
     shared = written(named.join(keys, "key"), "shared_phrases")
+    dropped(keys)
     counted = shared.groupBy("key", "s1", "s2", "several").agg(
         F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("kd", "th", "first", "n", "trigger")]
     )
     dictionary = written(counted, "dictionary")
     repeats = shared.join(dictionary.where("k > 1").select("key", "s1", "s2"), ["key", "s1", "s2"], "left_semi")
+    repeats = written(repeats.select("kd", "th", "first", "n"), "repeats")
+    dropped(shared)
     if last:
-        return repeats, None
-    return repeats, dictionary.where("several").select("kd", "th", "first", "n", "trigger")
+        return repeats, None, dictionary
+    return repeats, dictionary.where("several").select("kd", "th", "first", "n", "trigger"), dictionary
 
 
 def _with_texts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -253,7 +260,8 @@ def suffix_dedup(
         "text",
     )
     parse = written(rows.select("kd", "th", "text").mapInArrow(_phrases(min_bytes, gram), _NAMED), "parse")
-    repeats, open_phrases = _resolved(parse)
+    repeats, open_phrases, dictionary = _resolved(parse)
+    dropped(parse)
     spans = [repeats]
     touched = written(repeats.select("kd", "th").unionByName(open_phrases.select("kd", "th")).distinct(), "touched")
     texts = rows.join(touched, ["kd", "th"], "left_semi").groupBy("kd", "th")
@@ -261,8 +269,11 @@ def suffix_dedup(
     texts = written_by_key(texts, ["kd", "th"], "touched_texts")
     for step, last in ((_blocks, False), (_starts, True)):
         named = written(_with_texts(texts, open_phrases).mapInArrow(step(min_bytes), _NAMED), "named")
-        repeats, open_phrases = _resolved(named, last)
+        dropped(dictionary)
+        repeats, open_phrases, dictionary = _resolved(named, last)
+        dropped(named)
         spans.append(repeats)
+    dropped(dictionary)
     found = spans[0].unionByName(spans[1]).unionByName(spans[2])
     found = found.groupBy("kd", "th").agg(
         F.collect_list(
