@@ -10,18 +10,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .codepoints import codes, grouped, ngrams, sums
-from .common import pick, ship, text_or_empty, written
+from .common import dropped, pick, ship, text_or_empty, written
 from .text_hash import mix
 
 NGRAMS = (3, 4)
-#: Documents of each language whose n-grams are counted, drawn by hash of the id.
+#: Documents of each language whose n-grams are counted, drawn by hash of the id; about so many of a larger number.
 MAX_PER_LANGUAGE = 1000
-#: N-grams kept of each language, and of all languages together.
-MAX_NGRAMS = 20_000
-MAX_NGRAMS_IN_ALL = 1 << 20
+#: N-grams that make up less of a language's sample are left out; so a language keeps 1 / LEAST_RATE at most,
+#: whatever the sample's size and the number of languages.
+LEAST_RATE = 2e-5
+#: Bits of a filter for each n-gram of the language that has most.
+BITS_PER_NGRAM = 32
 #: A language contains an n-gram if its rate there is at least this share of the highest.
 LEAST_SHARE = 0.1
 HASHES = 3
@@ -95,7 +96,8 @@ class Model:
 def build(languages: list[str], grams: np.ndarray, language: np.ndarray, rate: np.ndarray) -> Model:
     """Filters over (n-gram, language number, rate) triples."""
     words = max(1, -(-len(languages) // 64))
-    size = 1 << min(21, max(12, int(4 * len(grams)).bit_length()))
+    largest = int(np.bincount(language).max()) if len(language) else 0
+    size = 1 << max(12, (BITS_PER_NGRAM * largest).bit_length())
     model = Model(languages, np.zeros((size, words), np.uint64), np.zeros(len(languages)))
     if len(grams):
         order = np.argsort(grams, kind="stable")
@@ -115,6 +117,7 @@ def build(languages: list[str], grams: np.ndarray, language: np.ndarray, rate: n
 def train(
     docs: DataFrame,
     max_per_language: int = MAX_PER_LANGUAGE,
+    least_rate: float = LEAST_RATE,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -125,23 +128,15 @@ def train(
         "doc_id", "lang", text_or_empty("text").alias("text"), F.xxhash64("doc_id").alias("draw")
     )
     usable = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    limits = written(  # a row per language
-        usable.select("lang", "draw")
-        .withColumn("nth", nth)
-        .where(F.col("nth") <= max_per_language)
-        .groupBy("lang")
-        .agg(F.max("draw").alias("last")),
-        "language_limits",
-    )
-    drawn = usable.join(limits, "lang").where("draw <= last").select("lang", "text")
+    sizes = written(usable.groupBy("lang").agg(F.count("*").alias("size")), "language_sizes")  # a row per language
+    place = F.col("draw") / F.lit(2.0**64) + 0.5  # evenly from 0 to 1
+    drawn = usable.join(sizes, "lang").where(place * F.col("size") <= max_per_language).select("lang", "text")
     counts = drawn.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram")
     counts = written(counts.agg(F.sum("n").alias("n")).where("n > 1"), "language_ngrams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    each = min(MAX_NGRAMS, MAX_NGRAMS_IN_ALL // max(1, totals.count()))
-    top = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    top = top.where(F.col("nth") <= each).join(totals, "lang")
-    found = top.select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).toArrow()
+    rates = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("total")), "lang")
+    rates = rates.select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    found = rates.where(F.col("rate") >= least_rate).toArrow()
+    dropped(sizes, counts)
     languages = sorted(set(found["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     return build(
