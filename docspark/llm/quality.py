@@ -97,7 +97,6 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     for _, buckets, _ in bags:
         seen[buckets] += 1
     known = seen >= MIN_DOCUMENTS
-    bags = [(label, b[known[b]], s[known[b]]) for label, b, s in bags]
     vectors = random.uniform(-1, 1, (_ALL_BUCKETS, DIMENSIONS)) / DIMENSIONS
     vectors[~known] = 0
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
@@ -105,6 +104,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     for _ in range(EPOCHS):
         for k in random.permutation(len(bags)):
             label, buckets, shares = bags[k]
+            some = known[buckets]
+            buckets, shares = buckets[some], shares[some].astype(float)
             rate = LEARNING_RATE * (1 - done / steps)
             done += 1
             mean = shares @ vectors[buckets]
@@ -143,13 +144,15 @@ def train(
     found = (
         chosen.select("doc_id", "quality", "text")
         .mapInArrow(_bags, "doc_id long, quality int, buckets binary, shares binary")
-        .dropDuplicates(["doc_id"])
-        .collect()
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("quality", "buckets", "shares")).alias("bag"))  # of several texts with one id always the same
+        .select("doc_id", "bag.*")
+        .toArrow()
+        .sort_by("doc_id")
     )
-    bags = [
-        (r["quality"], np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(float))
-        for r in sorted(found, key=lambda r: r["doc_id"])
-    ]
+    columns = (found[c] for c in ("quality", "buckets", "shares"))
+    # views of Arrow's buffers: a training document costs the driver 8 bytes for each of its buckets
+    bags = [(q.as_py(), np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(s.as_buffer(), "<f4")) for q, b, s in zip(*columns, strict=True)]
     return fit([b for b in bags if len(b[1])])
 
 
