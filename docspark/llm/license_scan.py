@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_or_empty, written
+from .common import ascii_lower, pick, text_or_empty, written
 
 THRESHOLD = 0.75
 #: Words are runs of letters, digits and non-ASCII of the lower-cased text.
@@ -35,7 +35,7 @@ TEMPLATES = [
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(WORD, text.lower())
+    return re.findall(WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
 
 
 def least_overlap(size: int, threshold: float) -> int:
@@ -111,8 +111,7 @@ def license_scan(
     sets = [(label, sorted(set(words_of(text)))) for label, text in templates]
     needed = [least_overlap(len(words), threshold) for _, words in sets]
     vocabulary = sorted({w for _, words in sets for w in words})
-    # full lower-casing gives other letters only outside ASCII: the same words are found
-    text = F.lower(text_or_empty("text"))
+    text = ascii_lower(text_or_empty("text"))
     lines = F.transform(F.split("low", "\n"), lambda line: F.array_remove(F.split(line, SEPARATORS), ""))
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("low")
@@ -209,7 +208,7 @@ def license_scan(
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The digest columns by comparing every line with every template."""
+    """The digest columns by comparing every line with every template; labels as ``_best_labels`` has them."""
     values = ", ".join(
         "('{}', [{}], {})".format(
             label, ", ".join(f"'{w}'" for w in sorted(set(words_of(text)))), least_overlap(len(set(words_of(text))), threshold)
@@ -236,14 +235,20 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float =
                    list(DISTINCT label) AS labels
             FROM phrases GROUP BY doc_id
         ), lines AS (
-            SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low
+            SELECT row_number() OVER () AS line_id, doc_id, line
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)
         ), templates(label, words, needed) AS (VALUES {values}),
-        found AS (
-            SELECT doc_id, list(DISTINCT label) AS labels, max(n / len(words)) AS best
-            FROM (SELECT doc_id, label, words, needed,
-                         len(list_intersect(list_distinct(regexp_extract_all(line, '{WORD}')), words)) AS n
+        matches AS (
+            SELECT doc_id, line_id, label, shared, len(shared) AS n, len(shared) / len(words) AS c
+            FROM (SELECT doc_id, line_id, label, words, needed,
+                         list_intersect(list_distinct(regexp_extract_all(line, '{WORD}')), words) AS shared
                   FROM lines, templates)
-            WHERE n >= needed GROUP BY doc_id
+            WHERE len(shared) >= needed
+        ), found AS (
+            SELECT doc_id, list(DISTINCT label) FILTER (WHERE NOT explained) AS labels, max(c) AS best
+            FROM (SELECT *, EXISTS (SELECT 1 FROM matches o WHERE o.line_id = m.line_id AND list_has_all(o.shared, m.shared)
+                                    AND (o.c > m.c OR (o.c = m.c AND o.n > m.n))) AS explained FROM matches m)
+            GROUP BY doc_id
         )
         SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
                first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
