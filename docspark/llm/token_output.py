@@ -162,7 +162,7 @@ REMEMBERED_BYTES = 32 << 20
 #: Bytes that a remembered piece takes beside its own and its ids'.
 _ENTRY = 150
 #: Bytes of text encoded at once, one text at least.
-AT_ONCE = 2 << 20
+AT_ONCE = 4 << 20
 _workers: dict[str, "_Encoder"] = {}
 
 
@@ -245,7 +245,7 @@ class _Encoder:
             known.update((p, older[p]) for p in new if p in older)
             new = [p for p in new if p not in older]
         self._learn(new)
-        self.size += sum(len(p) + len(known[p]) + _ENTRY for p in new)
+        self.size += sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + _ENTRY * len(new)
         return list(map(known.__getitem__, pieces))
 
     def __call__(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -268,9 +268,9 @@ class _Encoder:
         many = np.flatnonzero(size > 1)  # the others' end stands with their only piece
         which = np.insert(which, first[many] + size[many], n + len(texts))
         begin = first + np.cumsum(size > 1) - (size > 1)
-        length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        found = np.frombuffer(b"".join(map(ids.__getitem__, which.tolist())), "<u4")
-        return found, np.add.reduceat(length[which], begin, dtype=np.int64) if len(begin) else length
+        pieces = pa.array(ids, pa.large_binary()).take(pa.array(which))
+        data, offsets = buffers(pieces)
+        return data.view("<u4"), np.diff(offsets[np.append(begin, len(which))]) // 4
 
 
 _SEGMENT_SCHEMA = (
