@@ -312,6 +312,7 @@ def _segments(tokenizer_path: str, end_id: int):
                         yield flush()
         if ids:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
