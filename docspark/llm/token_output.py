@@ -158,11 +158,11 @@ _TAIL = ".,!?;:%$&#*"
 _TAILS = 1 << 12
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: When a worker remembers about so many bytes, it starts anew and keeps the old ones only until the next time.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 8 << 20
 #: Bytes that a remembered piece takes beside its own and its ids'.
 _ENTRY = 150
 #: Bytes of text encoded at once, one text at least.
-AT_ONCE = 4 << 20
+AT_ONCE = 8 << 20
 _workers: dict[str, "_Encoder"] = {}
 
 
