@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,28 +153,54 @@ def read_block(data: bytes, k: int) -> np.ndarray:
     return (out + low[k])[: min(block, n - k * block)].astype("<u4")
 
 
-_ADJACENT = re.compile(r"\s\s")
 #: Marks that pre-tokenization cuts from a letter before them and keeps together up to the next space.
 _TAIL = ".,!?;:%$&#*"
 _TAILS = 1 << 12
+_IS_TAIL = np.isin(np.arange(256), list(_TAIL.encode()))
+_IS_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: When a worker remembers about so many bytes, it starts anew and keeps the old ones only until the next time.
-REMEMBERED_BYTES = 8 << 20
-#: Bytes that a remembered piece takes beside its own and its ids'.
-_ENTRY = 150
+#: When a worker remembers more bytes of words, their ids and the offsets of both, the half met least often goes.
+REMEMBERED_BYTES = 16 << 20
 #: Bytes of text encoded at once, one text at least.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
+#: Words given to the library as one text.
+_RUN = 256
 _workers: dict[str, "_Encoder"] = {}
 
 
+def _ends_in_letter(words: pa.Array) -> np.ndarray:
+    """Whether a string's last character is one of A-Z, a-z and the letters from U+00C0 to U+00FF."""
+    data, offsets = buffers(words)
+    size = np.diff(offsets)
+    data = np.append(np.zeros(2, np.uint8), data)
+    last, before = data[offsets[1:] + 1], data[offsets[1:]]
+    return (size > 0) & (_IS_LETTER[last] | (size > 1) & (before == 0xC3) & (last != 0x97) & (last != 0xB7))
+
+
+def _bytes_of(ids: list[list[int]]) -> pa.Array:
+    """Each list's ids as bytes."""
+    flat = np.fromiter(chain.from_iterable(ids), "<u4", sum(map(len, ids)))
+    return _cut(flat, np.cumsum([0, *map(len, ids)]))
+
+
+def _cut(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(at) - 1, [None, pa.py_buffer(4 * at.astype(np.int64)), pa.py_buffer(ids)]
+    )
+
+
 class _Encoder:
-    """Ids by the tokenizers library, each distinct piece once.
+    """Ids by the tokenizers library, each distinct word once as long as it is remembered.
 
     Byte-level pre-tokenization always cuts before a single space between two
-    other characters, and merges never cross a cut. So a text's ids are the
-    ids of the pieces between such spaces, one after the other. The library's
-    defaults hold: the string of a special token in a text gives its id, with a
-    space before it as a piece of its own; it holds no space, so no cut parts it.
+    other characters, and between a letter and marks after it; merges never
+    cross a cut. So a text's ids are the ids of the pieces between such spaces,
+    one after the other, and a piece's are those of the word and of the marks
+    at its end. The library's defaults hold: the string of a special token in a
+    text gives its id, with a space before it as a piece of its own; it holds
+    no space and none of the marks, so no cut parts it.
+
+    Words and ids are Arrow arrays, of a few bytes an entry beside their own.
     """
 
     def __init__(self, path: str):
@@ -186,91 +213,122 @@ class _Encoder:
         size = self.tokenizer.get_vocab_size()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.opens = np.array([t.startswith("\u0120") for t in tokens])  # how byte-level tokens write a space
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.size = 0
-        self.tails: dict[str, bytes] = {"": b""}
+        self.words = pa.array([], pa.large_string())  # each follows a space
+        self.ids = pa.array([], pa.large_binary())
+        self.met = np.zeros(0, np.int64)  # how often each word was met
+        self.tails: dict[str, list[int]] = {}
 
     @staticmethod
-    def _pieces(texts: list[str]) -> pa.Array:
-        """Each text's pieces. Where no two spaces meet, every single space is a cut."""
-        odd = np.array([t[:1].isspace() or t[-1:].isspace() or _ADJACENT.search(t) is not None for t in texts], bool)
+    def _pieces(texts: pa.Array) -> pa.Array:
+        """Each text's pieces. A space is a cut if no other white space stands beside it."""
+        lists = pc.split_pattern(texts, " ").cast(pa.large_list(pa.large_string()))
+        flat, size = lists.flatten(), lists.value_lengths().to_numpy()
+        inner = np.diff(buffers(pc.utf8_trim_whitespace(flat))[1])
+        beside = (inner == 0) | (inner < np.diff(buffers(flat)[1]))
+        odd = np.add.reduceat(beside, np.cumsum(size) - size, dtype=np.int64) > 0
+        odd &= size > 1
+        if not odd.any():
+            return lists
         order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
-        n = len(texts) - int(odd.sum())
-        kind = pa.large_list(pa.large_string())
-        plain = pc.split_pattern(pa.array([texts[i] for i in order[:n]], pa.large_string()), " ").cast(kind)
-        rest = pa.array([_LONE_SPACE.split(texts[i]) for i in order[n:]], kind)
-        return pa.concat_arrays([plain, rest]).take(pa.array(np.argsort(order)))
-
-    def _learn(self, new: list[str]) -> None:
-        """Add pieces (each follows a space): a word by itself and the marks after it, which are cut from its last letter."""
-        cut = [(p, s) for p in new if (s := p.rstrip(_TAIL)) != p and s and s[-1].isalpha()]
-        stems = {s for _, s in cut}.union(new).difference((p for p, _ in cut), self.known)
-        self._encode(list(stems))
-        for piece, stem in cut:
-            tail = piece[len(stem) :]
-            if tail not in self.tails:
-                self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-            self.known[piece] = self.known[stem] + self.tails[tail]
-        if len(self.tails) > _TAILS:
-            self.tails.clear()
+        rest = pa.array([_LONE_SPACE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], lists.type)
+        return pa.concat_arrays([lists.filter(pa.array(~odd)), rest]).take(pa.array(np.argsort(order)))
 
-    def _encode(self, new: list[str]) -> None:
-        """Add pieces (each follows a space). Plain ones are encoded many at a time, as one text.
+    def _encode(self, new: pa.Array) -> pa.Array:
+        """Ids of words that follow a space. Plain ones are encoded many at a time, as one text.
 
-        A plain piece has no space in it, so its first id is the next one
+        A plain word has no space in it, so its first id is the next one
         whose token begins with a space.
         """
-        plain = [p for p in new if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
-        if len(plain) < len(new):
-            odd = list(set(new).difference(plain))
-            found = self.tokenizer.encode_batch_fast([" " + p for p in odd], add_special_tokens=False)
-            self.known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(odd, found, strict=True))
-        runs = [" " + " ".join(plain[i : i + 64]) for i in range(0, len(plain), 64)]
-        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        ids = np.array([i for x in found for i in x.ids], "<u4")
+        inner = np.diff(buffers(pc.utf8_trim_whitespace(new))[1])
+        plain = (inner > 0) & (inner == np.diff(buffers(new)[1])) & ~pc.match_substring(new, " ").to_numpy(zero_copy_only=False)
+        words = new.filter(pa.array(plain))
+        at = pa.array(np.append(np.arange(0, len(words), _RUN), len(words)), pa.int32())
+        runs = pc.binary_join(pa.ListArray.from_arrays(at, words), pa.scalar(" ", pa.large_string()))
+        found = self.tokenizer.encode_batch_fast([" " + r for r in runs.to_pylist()], add_special_tokens=False)
+        lists = [x.ids for x in found]
+        ids = np.fromiter(chain.from_iterable(lists), "<u4", sum(map(len, lists)))
         starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(plain):
+        if len(starts) != len(words):
             raise ValueError("the tokenizer does not cut before single spaces")
-        at, raw = [*(4 * starts).tolist(), 4 * len(ids)], ids.tobytes()
-        self.known.update((p, raw[s:e]) for p, s, e in zip(plain, at[:-1], at[1:], strict=True))
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces that follow a space."""
-        if self.size > REMEMBERED_BYTES:
-            self.known, self.older, self.size = {}, self.known, 0
-        known, older = self.known, self.older
-        new = [p for p in pieces if p not in known]
-        if older:
-            known.update((p, older[p]) for p in new if p in older)
-            new = [p for p in new if p not in older]
-        self._learn(new)
-        self.size += sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + _ENTRY * len(new)
-        return list(map(known.__getitem__, pieces))
-
-    def __call__(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        out = _cut(ids, np.append(starts, len(ids)))
+        if len(words) == len(new):
+            return out
+        odd = [" " + p for p in new.filter(pa.array(~plain)).to_pylist()]
+        found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        return pa.concat_arrays([out, _bytes_of([x.ids for x in found])]).take(pa.array(np.argsort(order)))
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Where each of these words, which follow a space, stands among the remembered ones."""
+        size = self.words.nbytes + self.ids.nbytes
+        if size > REMEMBERED_BYTES:
+            keep = self.met > np.median(self.met)  # half of them at most
+            self.words, self.ids = self.words.filter(pa.array(keep)), self.ids.filter(pa.array(keep))
+            self.met = self.met[keep] // 2
+        found = pc.index_in(words, value_set=self.words)
+        rows = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            missing = np.flatnonzero(rows < 0)
+            new = words.take(pa.array(missing)).dictionary_encode()
+            rows[missing] = len(self.words) + new.indices.to_numpy()
+            self.ids = pa.concat_arrays([self.ids, self._encode(new.dictionary)])
+            self.words = pa.concat_arrays([self.words, new.dictionary])
+        met = np.bincount(rows, minlength=len(self.words))
+        met[: len(self.met)] += self.met
+        self.met = met
+        return rows
+
+    def _parted(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, pa.DictionaryArray]:
+        """The pieces without marks after a last letter; where there were some; those marks."""
+        data, offsets = buffers(pieces)
+        parted = np.zeros(len(pieces), bool)
+        full = np.flatnonzero(np.diff(offsets))
+        parted[full] = _IS_TAIL[data[offsets[full + 1] - 1]]
+        stems = pc.utf8_rtrim(pieces.filter(pa.array(parted)), _TAIL)
+        fit = _ends_in_letter(stems)
+        parted[parted] = fit
+        stems = stems.filter(pa.array(fit))
+        size = np.diff(offsets)[parted] - np.diff(buffers(stems)[1])
+        ends = np.cumsum(size)
+        place = np.repeat(offsets[1:][parted] - ends, size) + np.arange(ends[-1] if len(ends) else 0)
+        offsets, marks = np.append(0, ends).astype(np.int64), data[place]
+        tails = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(marks))
+        return pc.replace_with_mask(pieces, pa.array(parted), stems), parted, tails.dictionary_encode()
+
+    def _tail(self, tail: str) -> list[int]:
+        if len(self.tails) > _TAILS:
+            self.tails.clear()
+        if tail not in self.tails:
+            self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+        return self.tails[tail]
+
+    def __call__(self, texts: pa.Array | list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after the other, each text's with ``end`` after them, and how many each has."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         lists = self._pieces(texts)
-        size = lists.value_lengths().to_numpy()
-        first = np.cumsum(size) - size
-        at_first = np.zeros(int(size.sum()), bool)
-        at_first[first] = True
-        flat = lists.flatten()
-        rest = flat.filter(pa.array(~at_first)).dictionary_encode()
-        ids = self._ids(rest.dictionary.to_pylist())
-        n = len(ids)
+        size, flat = lists.value_lengths().to_numpy(), lists.flatten()
+        last = np.cumsum(size) - 1
+        at_first = np.zeros(len(flat), bool)
+        at_first[last + 1 - size] = True
+        words, parted, tails = self._parted(flat.filter(pa.array(~at_first)))
+        rows = self._rows(words)
         opening = self.tokenizer.encode_batch_fast(flat.filter(pa.array(at_first)).to_pylist(), add_special_tokens=False)
-        ids += [np.array(x.ids, "<u4").tobytes() + end * (k == 1) for x, k in zip(opening, size.tolist(), strict=True)]
-        ids += [end]
-        which = np.empty(len(flat), np.int64)
-        which[at_first] = n + np.arange(len(texts))
-        which[~at_first] = rest.indices.to_numpy()
-        many = np.flatnonzero(size > 1)  # the others' end stands with their only piece
-        which = np.insert(which, first[many] + size[many], n + len(texts))
-        begin = first + np.cumsum(size > 1) - (size > 1)
-        pieces = pa.array(ids, pa.large_binary()).take(pa.array(which))
-        data, offsets = buffers(pieces)
-        return data.view("<u4"), np.diff(offsets[np.append(begin, len(which))]) // 4
+        marks = [self._tail(t) for t in tails.dictionary.to_pylist()]
+        parts = [self.ids, _bytes_of(marks), _bytes_of([x.ids for x in opening]), pa.array([end], pa.large_binary())]
+        begin = np.cumsum([0, *map(len, parts)])
+        # what each piece gives: its own ids, those of its marks, the end of a text
+        gives = np.ones(len(flat), np.int64)
+        with_marks = np.flatnonzero(~at_first)[parted]
+        gives[with_marks] += 1
+        gives[last] += 1
+        at = np.cumsum(gives) - gives
+        which = np.empty(int(gives.sum()), np.int64)
+        which[at[at_first]] = begin[2] + np.arange(len(texts))
+        which[at[~at_first]] = rows
+        which[at[with_marks] + 1] = begin[1] + tails.indices.to_numpy()
+        which[at[last] + gives[last] - 1] = begin[3]
+        data, offsets = buffers(pa.concat_arrays(parts).take(pa.array(which)))
+        return data.view("<u4"), np.diff(offsets[np.append(at[at_first], len(which))]) // 4
 
 
 _SEGMENT_SCHEMA = (
@@ -300,7 +358,7 @@ def _segments(tokenizer_path: str, end_id: int):
         for batch in batches:
             for i, j in groups(buffers(batch.column(1))[1], AT_ONCE):
                 part = batch.slice(i, j - i)
-                found, lengths = encoder(part.column(1).to_pylist(), end)
+                found, lengths = encoder(part.column(1), end)
                 at = 0
                 for doc, n in zip(part.column(0).to_pylist(), lengths.tolist(), strict=True):
                     ids.append(doc)
